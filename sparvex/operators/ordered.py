@@ -1,0 +1,53 @@
+"""Neighbours in an order, without putting a whole key into one task.
+
+`lag`, `lead` and `row_number` over a key sort all its rows in one task. Here a key is cut into chunks of
+its order (for example days); the window runs inside a chunk, and a second, far smaller window runs over
+one summary row per chunk. A key that holds a third of all rows is thus spread over its chunks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def with_previous(df: DataFrame, keys: list[str], order: str, chunk: str, value: str, out: str) -> DataFrame:
+    """Add `out`: `value` of the row before, null for the first of a key.
+
+    `order` is unique within a key; `keys` hold no nulls (drop or fill them first).
+    """
+    inner = Window.partitionBy(*keys, chunk).orderBy(order)
+    tails = df.groupBy(*keys, chunk).agg(F.max_by(F.struct(value), order).alias("_tail"))
+    tails = tails.withColumn("_before", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(chunk))).drop("_tail")
+    out_df = df.withColumn("_prev", F.lag(F.struct(value)).over(inner)).join(tails, [*keys, chunk], "left")
+    return out_df.withColumn(out, F.coalesce("_prev", "_before")[value]).drop("_prev", "_before")
+
+
+def with_next(df: DataFrame, keys: list[str], order: str, chunk: str, values: list[str], outs: list[str]) -> DataFrame:
+    """Add `outs`: the `values` of the row after, null for the last of a key."""
+    inner = Window.partitionBy(*keys, chunk).orderBy(order)
+    heads = df.groupBy(*keys, chunk).agg(F.min_by(F.struct(*values), order).alias("_head"))
+    heads = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy(*keys).orderBy(chunk))).drop("_head")
+    out_df = df.withColumn("_next", F.lead(F.struct(*values)).over(inner)).join(heads, [*keys, chunk], "left")
+    both = F.coalesce("_next", "_after")
+    return out_df.select("*", *(both[v].alias(o) for v, o in zip(values, outs))).drop("_next", "_after")
+
+
+def with_ordinal(df: DataFrame, keys: list[str], order: str, chunk: str, out: str, total: str) -> DataFrame:
+    """Add `out`, the row's number within its key from 1, and `total`, the number of rows of the key."""
+    inner = Window.partitionBy(*keys, chunk).orderBy(order)
+    whole = Window.partitionBy(*keys)
+    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(
+        *keys,
+        chunk,
+        (F.sum("_n").over(whole.orderBy(chunk)) - F.col("_n")).alias("_base"),
+        F.sum("_n").over(whole).alias(total),
+    )
+    numbered = df.withColumn("_rn", F.row_number().over(inner)).join(counts, [*keys, chunk], "left")
+    return numbered.withColumn(out, F.col("_base") + F.col("_rn")).drop("_base", "_rn")
+
+
+def chunk_of(order: Column, width: int) -> Column:
+    """The chunk of a numeric order; values are spread over chunks of `width`."""
+    return F.floor(order / F.lit(width)).cast("bigint")
