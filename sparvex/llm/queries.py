@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from .ann import similar_pairs
 from .tokenize import encode
+from .vectors import usable_vectors
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usable_vectors(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "coll_config"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coll_name, id_a, id_b: similar pairs, from the 5 most similar of every vector."""
+    return similar_pairs(_usable(spark, sf_dir))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +24,5 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+QUERIES = {"p4_found": p4_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
