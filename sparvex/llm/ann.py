@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .vectors import directions, matrix, unit, with_direction
+from .vectors import directions, matrix, unit
 
-SAMPLE_ROWS = 32_768
+SAMPLE_ROWS = 16_384
 LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 2048
-REGION_ROWS = 8192
-DENSE, SHARE, MIN_PROBES, MAX_PROBES = 0.8, 0.25, 8, 256
+REGION_ROWS = 16_384
+DENSE, SHARE, MIN_PROBES, MAX_PROBES = 0.8, 0.2, 8, 256
 PER_LIST, RERANK, EXACT = 64, 96, 12
 THRESHOLD = 0.45
 _BATCH, _BLOCK = 128, 512
@@ -298,6 +298,7 @@ def fit_models(keyed: DataFrame) -> dict[str, Model]:
     """The index models of all collections; each is fitted in its own task on its bounded sample."""
     import pickle
 
+    keyed = keyed.where(F.col("ids").isNotNull())
     counts = {r.coll_name: r["count"] for r in keyed.groupBy("coll_name").count().collect()}
     share = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, 0.97 * SAMPLE_ROWS / n))]) if counts else F.lit(None)
 
@@ -314,7 +315,7 @@ def fit_models(keyed: DataFrame) -> dict[str, Model]:
     return {r.coll_name: pickle.loads(r.model) for r in rows}
 
 
-_PLACED = "coll_name string, region int, member boolean, dir_key binary, vec_values array<double>, cell int, size float, probes array<int>, codes binary, ids array<string>"
+_PLACED = "coll_name string, region int, member boolean, dir_key binary, vec_values array<float>, cell int, size float, probes array<int>, codes binary, ids array<string>"
 
 
 def _place(models: dict[str, Model], batch: pa.RecordBatch):
@@ -326,8 +327,7 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
             continue
         rows = np.flatnonzero(np.array([n == name for n in names]))
         part = batch.take(pa.array(rows))
-        x64 = unit(matrix(part.column("vec_values")))
-        x = x64.astype(np.float32)
+        x = unit(matrix(part.column("vec_values"))).astype(np.float32)
         own, mask = probes(m, x)
         cell = cell_of(m, x, own)
         codes, sizes = encode(m, x, cell)
@@ -352,7 +352,7 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
                 pa.array(region.astype(np.int32)),
                 pa.array(member),
                 part.column("dir_key").take(take),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * x.shape[1]), pa.array(x64[r].ravel())),
+                part.column("vec_values").take(take),
                 pa.array(cell[r]),
                 pa.array(sizes[r]),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(one[sort].astype(np.int32))),
@@ -363,13 +363,13 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
         )
 
 
-_FOUND = "coll_name string, dir_key binary, near array<struct<far:double,id:string,node:string>>"
+_FOUND = "coll_name string, dir_key binary, near array<struct<far:int,id:string>>"
 
 
 def _search_table(m: Model, name: str, t: pa.Table, keep: int) -> pa.Table:
     t = t.combine_chunks()
     member = t["member"].to_numpy(zero_copy_only=False)
-    q = matrix(t["vec_values"])
+    q = unit(matrix(t["vec_values"]))
     home = np.flatnonzero(member)
     probe_lists = t["probes"].combine_chunks()
     mask = np.zeros((len(q), len(m.centres)), bool)
@@ -384,29 +384,26 @@ def _search_table(m: Model, name: str, t: pa.Table, keep: int) -> pa.Table:
     else:
         found, score = np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf)
         ids = pa.array([], pa.list_(pa.string()))
-    # a member also has its own copies
+    # a member also has its own copies; more than `keep` directions can't be needed but for ties
+    score = np.concatenate([np.ones((len(q), 1)), np.round(score, 6)], 1)
     found = np.concatenate([q_self[:, None], found], 1)
-    score = np.concatenate([np.ones((len(q), 1)), score], 1)
-    good = found >= 0
+    good = (found >= 0) & (score >= score[:, min(keep, score.shape[1] - 1)][:, None])
     row, _ = np.nonzero(good)
     lists = ids.take(pa.array(found[good]))
     lens = np.asarray(lists.value_lengths())
-    flat = lists.flatten()
-    heads = np.cumsum(lens) - lens
-    far = np.repeat(-np.round(score[good], 6), lens) + 0.0
-    node = flat.take(pa.array(np.repeat(heads, lens)))
+    far = np.repeat(np.round(-1e6 * score[good]).astype(np.int32), lens)
     per_row = np.bincount(row, lens, len(q)).astype(np.int64)
-    near = pa.StructArray.from_arrays([pa.array(far), flat, node], names=["far", "id", "node"])
+    near = pa.StructArray.from_arrays([pa.array(far), lists.flatten()], names=["far", "id"])
     offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
     return pa.table({"coll_name": pa.array([name] * len(q)), "dir_key": t["dir_key"], "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
 
 
 def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
-    """coll_name, dir_key, near: for each direction the k + 1 nearest ids, its own included, as (far, id, node):
-    the negative cosine rounded to 6 decimals, the id, and the smallest id of the direction it belongs to.
+    """coll_name, dir_key, near: for each direction the k + 1 nearest ids, its own included, as (far, id):
+    the negative cosine in millionths, and the id. If `keyed` was made with `keep` of 1, an id stands for its
+    direction, else at most `keep` ids of a direction are listed.
 
-    `keyed`: coll_name, id, vec_values, dir_key, of usable vectors; it is read several times, so pass a
-    checkpointed table.
+    `keyed`: the rows of `vectors.directions`; it is read several times, so pass a checkpointed table.
     """
     spark = keyed.sparkSession
     models = spark.sparkContext.broadcast(fit_models(keyed))
@@ -419,7 +416,7 @@ def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
         name = key[0].as_py()
         return _search_table(models.value[name], name, t, k + 1)
 
-    columns = directions(keyed, k + 1).select("coll_name", "dir_key", "vec_values", "ids")
+    columns = keyed.where(F.col("ids").isNotNull()).select("coll_name", "dir_key", "vec_values", "ids")
     placed = columns.mapInArrow(place, _PLACED)
     found = placed.groupBy("coll_name", "region").applyInArrow(search, _FOUND)
     merged = found.groupBy("coll_name", "dir_key").agg(F.flatten(F.collect_list("near")).alias("near"))
@@ -428,13 +425,13 @@ def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
 
 def most_similar(usable: DataFrame, k: int = 5) -> DataFrame:
     """coll_name, id, rank (from 1), near_id, similarity (6 decimals): the k most similar of every vector."""
-    keyed = cut(with_direction(usable.select("coll_name", "id", "vec_values")))
+    keyed = cut(directions(usable.select("coll_name", "id", "vec_values"), k + 1))
     lists = nearest_directions(keyed, k)
     rows = keyed.select("coll_name", "id", "dir_key").join(lists, ["coll_name", "dir_key"])
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
     rows = rows.select("coll_name", "id", F.posexplode(others).alias("_at", "_n"))
     return rows.select(
-        "coll_name", "id", (F.col("_at") + 1).alias("rank"), F.col("_n.id").alias("near_id"), (-F.col("_n.far")).alias("similarity")
+        "coll_name", "id", (F.col("_at") + 1).alias("rank"), F.col("_n.id").alias("near_id"), (F.col("_n.far") / -1e6).alias("similarity")
     )
 
 

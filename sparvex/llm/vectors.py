@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,20 +58,18 @@ def _direction_key(values: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def with_direction(usable: DataFrame) -> DataFrame:
-    """Add `dir_key`: equal for copies, also scaled ones (the unit vectors agree to five decimals)."""
-    return usable.withColumn("dir_key", _direction_key("vec_values"))
+def directions(usable: DataFrame, keep: int) -> DataFrame:
+    """coll_name, id, dir_key, ids, vec_values (float) and the other columns of `usable`.
 
-
-def directions(keyed: DataFrame, keep: int) -> DataFrame:
-    """One row per direction: coll_name, dir_key, vec_values of its smallest id, and its `keep` smallest ids.
-
-    The rank limit is applied before the shuffle, so a group of copies of any size sends few rows.
+    `dir_key` is equal for copies, also scaled ones (the unit vectors agree to five decimals). The smallest id of
+    a direction stands for it: only its row has the values and `ids`, the `keep` smallest ids of the direction.
+    The rank limit is applied before the shuffle, so a group of copies of any size sends few rows, and only keys
+    are shuffled: the values stay where finding the current rows has put them.
     """
-    from pyspark.sql import Window
-
+    keyed = usable.withColumn("dir_key", _direction_key("vec_values"))
     w = Window.partitionBy("coll_name", "dir_key").orderBy("id")
-    few = keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
-    return few.groupBy("coll_name", "dir_key").agg(
-        F.min_by("vec_values", "id").alias("vec_values"), F.array_sort(F.collect_list("id")).alias("ids")
-    )
+    few = keyed.select("coll_name", "dir_key", "id", F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= keep)
+    heads = few.groupBy("coll_name", "dir_key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    heads = heads.select("coll_name", F.col("ids")[0].alias("id"), "ids")
+    whole = keyed.join(heads, ["coll_name", "id"], "left")
+    return whole.withColumn("vec_values", F.when(F.col("ids").isNotNull(), F.col("vec_values").cast("array<float>")))
