@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
 from .ann import similar_pairs
+from .clusters import clusters, similarity_groups
+from .subset import varied_subsets
 from .tokenize import encode
 from .vectors import usable_vectors
 
@@ -14,6 +16,21 @@ def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable_vectors(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "coll_config"))
 
 
+def p2_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, coll_name, rank, id: the chosen ids of every request."""
+    return varied_subsets(_usable(spark, sf_dir), table(spark, sf_dir, "subset_requests"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coll_name, id, first_id: vectors in groups of similarity 0.85 or more."""
+    return similarity_groups(_usable(spark, sf_dir))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coll_name, cluster, size, exemplars, usual: the stable clusters, described."""
+    return clusters(_usable(spark, sf_dir))[1]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coll_name, id_a, id_b: similar pairs, from the 5 most similar of every vector."""
     return similar_pairs(_usable(spark, sf_dir))
@@ -24,5 +41,5 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_ids": p6_ids}
+QUERIES = {"p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
