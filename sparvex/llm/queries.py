@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import table
 from .ann import similar_pairs
 from .clusters import clusters, similarity_groups
+from .leakage import leaked_items
 from .subset import varied_subsets
 from .tokenize import encode
 from .vectors import usable_vectors
 
 
-def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usable_vectors(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "coll_config"))
+def _usable(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return usable_vectors(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "coll_config"), ("vec_values", *columns))
 
 
 def p2_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, coll_name, rank, id: the chosen ids of every request."""
-    return varied_subsets(_usable(spark, sf_dir), table(spark, sf_dir, "subset_requests"))
+    return varied_subsets(_usable(spark, sf_dir, "metadata"), table(spark, sf_dir, "subset_requests"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coll_name, cluster, size, exemplars, usual: the stable clusters, described."""
-    return clusters(_usable(spark, sf_dir))[1]
+    return clusters(_usable(spark, sf_dir, "metadata"))[1]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +42,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id: documents and the evaluation items that leaked into them."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_found": p7_found, "p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
