@@ -8,10 +8,10 @@ Plan
    that is parallel to the data point, which distorts large inner products, weighs `eta` times the rest.
    Nearby lists form regions of about `REGION_ROWS` vectors; a region is the unit of work, so a collection or a
    similarity group with a third of all rows is spread over many tasks.
-3. Every direction is stored in its list's region and visits the other regions that hold lists it probes.
+3. Every direction goes to its list's region and visits the other regions that hold lists it probes.
    Probes: all lists with a cell whose centre has a cosine of `DENSE` or more, so that a large dense group is
    searched whole, and the nearest ones, `SHARE` of the lists for vectors in no dense place, within `MAX_PROBES`.
-4. In a region, tables of sixteen partial scores per block, combined to one table per byte of two four-bit
+4. In a region, its members are coded; tables of sixteen partial scores per block, combined to one table per byte of two four-bit
    codes, are summed over the codes of a list for a batch of queries. The best `PER_LIST` of each list, then
    the best `RERANK` of the region, are scored again exactly (float64).
 5. The regions' results of a query are merged; ids of copies are put in; ties go to the smaller id.
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from .vectors import directions, matrix, unit
 
-SAMPLE_ROWS = 16_384
+SAMPLE_ROWS = 12_288
 LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 2048
 REGION_ROWS = 16_384
-DENSE, SHARE, MIN_PROBES, MAX_PROBES = 0.8, 0.2, 8, 256
-PER_LIST, RERANK, EXACT = 64, 96, 12
+DENSE, SHARE, MIN_PROBES, MAX_PROBES = 0.8, 0.15, 8, 256
+PER_LIST, RERANK, EXACT = 48, 80, 12
 THRESHOLD = 0.45
 _BATCH, _BLOCK = 128, 512
 
@@ -315,7 +315,7 @@ def fit_models(keyed: DataFrame) -> dict[str, Model]:
     return {r.coll_name: pickle.loads(r.model) for r in rows}
 
 
-_PLACED = "coll_name string, region int, member boolean, dir_key binary, vec_values array<float>, cell int, size float, probes array<int>, codes binary, ids array<string>"
+_PLACED = "coll_name string, region int, member boolean, dir_key binary, vec_values array<float>, ids array<string>"
 
 
 def _place(models: dict[str, Model], batch: pa.RecordBatch):
@@ -325,27 +325,15 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
         m = models.get(name)
         if m is None:
             continue
-        rows = np.flatnonzero(np.array([n == name for n in names]))
-        part = batch.take(pa.array(rows))
-        x = unit(matrix(part.column("vec_values"))).astype(np.float32)
-        own, mask = probes(m, x)
-        cell = cell_of(m, x, own)
-        codes, sizes = encode(m, x, cell)
+        part = batch.take(pa.array(np.flatnonzero(np.array([n == name for n in names]))))
+        own, mask = probes(m, unit(matrix(part.column("vec_values"))).astype(np.float32))
         home = m.regions[own]
-        visits = np.zeros((len(x), m.regions.max() + 1), bool)
+        visits = np.zeros((len(own), m.regions.max() + 1), bool)
         row, one = np.nonzero(mask)
         visits[row, m.regions[one]] = True
-        visits[np.arange(len(x)), home] = True
         r, region = np.nonzero(visits)
         member = home[r] == region
-        # the probes of each (row, region), in the order of np.nonzero
-        sort = np.lexsort((one, m.regions[one], row))
-        count = np.zeros(visits.shape, np.int32)
-        np.add.at(count, (row, m.regions[one]), 1)
-        offsets = np.concatenate([[0], np.cumsum(count[r, region])]).astype(np.int32)
-        take = pa.array(r)
-        code_rows = pa.array([c.tobytes() for c in codes], pa.binary())
-        at_home = pa.array(r, mask=~member)  # visitors bring no codes and ids
+        take, at_home = pa.array(r), pa.array(r, mask=~member)  # visitors bring no ids
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([name] * len(r)),
@@ -353,13 +341,9 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
                 pa.array(member),
                 part.column("dir_key").take(take),
                 part.column("vec_values").take(take),
-                pa.array(cell[r]),
-                pa.array(sizes[r]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(one[sort].astype(np.int32))),
-                code_rows.take(at_home),
                 part.column("ids").take(at_home),
             ],
-            names=["coll_name", "region", "member", "dir_key", "vec_values", "cell", "size", "probes", "codes", "ids"],
+            names=["coll_name", "region", "member", "dir_key", "vec_values", "ids"],
         )
 
 
@@ -371,16 +355,15 @@ def _search_table(m: Model, name: str, t: pa.Table, keep: int) -> pa.Table:
     member = t["member"].to_numpy(zero_copy_only=False)
     q = unit(matrix(t["vec_values"]))
     home = np.flatnonzero(member)
-    probe_lists = t["probes"].combine_chunks()
-    mask = np.zeros((len(q), len(m.centres)), bool)
-    mask[np.repeat(np.arange(len(q)), np.asarray(probe_lists.value_lengths())), probe_lists.flatten().to_numpy()] = True
+    q32 = q.astype(np.float32)
+    own, mask = probes(m, q32)
     q_self = np.full(len(q), -1)
     q_self[home] = np.arange(len(home))
     if len(home):
-        at = t.take(pa.array(home))
-        codes = np.frombuffer(b"".join(at["codes"].to_pylist()), np.uint8).reshape(len(home), -1)
-        found, score = search_region(m, q[home], at["cell"].to_numpy(), codes, at["size"].to_numpy(), q, q_self, mask)
-        ids = at["ids"].combine_chunks()
+        cells = cell_of(m, q32[home], own[home])
+        codes, sizes = encode(m, q32[home], cells)
+        found, score = search_region(m, q[home], cells, codes, sizes, q, q_self, mask)
+        ids = t["ids"].combine_chunks().take(pa.array(home))
     else:
         found, score = np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf)
         ids = pa.array([], pa.list_(pa.string()))

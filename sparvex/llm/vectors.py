@@ -11,24 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def current_vectors(vectors: DataFrame) -> DataFrame:
-    """coll_name, id, vec_values, metadata: the row of the highest `vec_version` of each vector.
+def current_vectors(vectors: DataFrame, columns: tuple[str, ...] = ("vec_values", "metadata")) -> DataFrame:
+    """coll_name, id and `columns`: the row of the highest `vec_version` of each vector.
 
-    Of equal versions the latest `vec_ts`, then `exported_at`, then the greatest values and metadata count;
-    nulls are lowest. Rows with a null collection or id name no vector and are left out.
+    Of equal versions the latest `vec_ts`, then `exported_at`, then the greatest values, then metadata by its
+    hash count; nulls are lowest. Rows with a null collection or id name no vector and are left out.
     """
-    last = F.struct("vec_version", "vec_ts", "exported_at", "vec_values", "metadata")
+    last = F.struct("vec_version", "vec_ts", "exported_at", "vec_values", F.xxhash64("metadata").alias("_h"), *[c for c in columns if c != "vec_values"])
     rows = vectors.where(F.col("coll_name").isNotNull() & F.col("id").isNotNull())
-    return rows.groupBy("coll_name", "id").agg(F.max(last).alias("_r")).select("coll_name", "id", "_r.vec_values", "_r.metadata")
+    rows = rows.groupBy("coll_name", "id").agg(F.max(last).alias("_r"))
+    return rows.select("coll_name", "id", *(F.col(f"_r.{c}") for c in columns))
 
 
-def usable_vectors(vectors: DataFrame, config: DataFrame) -> DataFrame:
+def usable_vectors(vectors: DataFrame, config: DataFrame, columns: tuple[str, ...] = ("vec_values", "metadata")) -> DataFrame:
     """Current vectors whose values have the collection's dimension, no null, NaN or infinity, and are not all zero.
 
     A collection without a configuration has no usable vectors.
     """
     dims = config.where(F.col("dim") > 0).groupBy("coll_name").agg(F.max("dim").alias("_dim"))
-    v = current_vectors(vectors).join(dims, "coll_name")
+    v = current_vectors(vectors, columns).join(dims, "coll_name")
     x = F.col("vec_values")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return v.where((F.size(x) == F.col("_dim")) & fine & F.exists(x, lambda e: e != 0)).drop("_dim")
