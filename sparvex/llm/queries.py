@@ -8,6 +8,7 @@ from ..runtime import table
 from .ann import similar_pairs
 from .clusters import clusters, similarity_groups
 from .leakage import leaked_items
+from .personal import masked_texts, personal_information
 from .subset import varied_subsets
 from .tokenize import encode
 from .vectors import usable_vectors
@@ -47,5 +48,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, start_pos: the places of personal information."""
+    found = personal_information(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
+    return found.select("doc_id", "kind", "start_pos")
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: the texts with placeholders."""
+    return masked_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_masked": p8_masked, "p7_found": p7_found, "p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
