@@ -54,7 +54,7 @@ _AT = r"(?:@|&#64;|&commat;|\\u0040|%40| ?[(\[{<] ?at ?[)\]}>] ?| at (?=[A-Za-z0
 _DOT = r"(?:\.| ?[(\[{<] ?(?:dot|punkt|punto|point) ?[)\]}>] ?| dot | DOT )"
 _EMAIL = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w:@]|-\w)", re.I)
 _HAS_AT = re.compile(r"@|&#64;|\\u0040|%40|[(\[{<] ?at ?[)\]}>]| at [\w-]+ dot | AT [\w-]+ DOT ", re.I)
-_PHONE = re.compile(r"(?<![\w.,+/:-])(?<!\d )(?:\+|\(?)\d+\)?(?:[ .\-/]?\(?\d+\)?)*(?:,? ?(?:ext\.?|extn\.?|x|Durchwahl|poste) ?\d{1,5})?(?![\w]|[.,-]\d)")
+_PHONE = re.compile(r"(?<![\w.,+/:-])(?<!\d )(?=[\d+(][\d+() .\-/]{5})(?:\+|\(?)\d+\)?(?:[ .\-/]?\(?\d+\)?)*(?:,? ?(?:ext\.?|extn\.?|x|Durchwahl|poste) ?\d{1,5})?(?![\w]|[.,-]\d)")
 _PHONE_LABEL = re.compile(r"(?:\b(?:tel|tél|phone|call|mobile|cell|fax|telefon|teléfono|llama(?:r)?(?: al)?|appel(?:er|ez)?(?: le)?|ruf|number is|ring|numéro)[.:]*\s*(?:at|al|me at|is|unter|le|:|=)*|\bT:?)[\s:=\"'\\]*$", re.I)
 _COUNTER = re.compile(r"(?:\b(?:lot|item|part no\.?|run|build|from|started|total|version|order|batch|isbn|port|id)|==|@)['\"\s:=]*$", re.I)
 _ID = re.compile(
@@ -68,7 +68,17 @@ _STREET = re.compile(
     rf"|(?:[{_U}][{_L}]+(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring)|(?:Am|An der|Im|Zum|Zur|Auf dem|In der) (?:[{_U}][{_L}]+ ?){{1,2}}) ?\d{{1,4}} ?[a-z]?(?![\w])"
     rf"|(?:Calle|C/|Avda?\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Carrera|Ronda|Travesía|Callejón)(?: (?:de la|de los|de las|del|de|la|el))? (?:[{_U}][{_L}]+ )*(?:[{_U}][{_L}]+),? \d{{1,4}})"
 )
-_HAS_STREET = re.compile(r"(?:Lane|Street|St\.|Close|Crescent|Road|Rd|Ave|Drive|Way|Court|Place|Terrace|Row|Hill|Square|Gardens|B(?:oule)?v|rue|av\.|avenue|bd|impasse|all[ée]e|place|quai|chemin|route|cours|passage|straße|strasse|str\.|gasse|weg|platz|ufer|damm|ring|\bAm |\bAn der|\bIm |\bZu[mr] |Calle|C/|Avda|Avenida|Plaza|Paseo|Camino|Ronda)")
+#: Literal parts of every street and every label of an identity number: texts without any of them are not searched.
+_STREET_PARTS = (
+    " Lane", " Street", " St", " Close", " Crescent", " Road", " Rd", " Ave", " Drive", " Dr", " Way", " Court", " Place", " Terrace", " Row", " Hill",
+    " Square", " Gardens", " Boulevard", " Blvd", " rue ", " avenue ", " av. ", " bd ", " boulevard ", " impasse ", "allée ", "allee ", " place ", " quai ", " chemin ",
+    " route ", " cours ", " passage ", " square ", "straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm", "ring ", "Am ", "An der ", "Im ", "Zum ",
+    "Zur ", "Auf dem ", "In der ", "Calle", "C/", "Avda", "Avd.", "Ava.", "Avenida", "Plaza", "Pza.", "Paseo", "Camino", "Carrera", "Ronda", "Travesía", "P.º",
+)
+_ID_PARTS = (
+    "ssn", "security", "passport", "national i", "id no", "id num", "id card", "identity", "tax no", "tax id", "tax num", "nino", "dni", "nie", "nif", "nir", "insee",
+    "steuer", "sozialv", "sécurité", "securité", "sécurite", "securite", "identidad", "pasaporte", "passeport", "person", "id_num", "idnum", "ausweis", "identificación", "carnet", "ni no", "ni num",
+)
 #: What may follow a street up to the end of an address.
 _REST = re.compile(
     rf"(?:,? ?(?:Apt\.?|Flat|Unit|Suite|#) ?\w+|, (?:bajo|\d+\.º ?[A-Z]?))?(?:(?:,| |,? ?\n(?:# |\s*\.\.\.: (?:# )?)?|\\n\",? ?\n? *\")? ?(?:\d{{5}} )?[{_U}](?=[a-zß-ÿ])[{_L}-]+(?: (?:am|an der|del|de la|[{_U}](?=[a-zß-ÿ])[{_L}-]+))*(?:,? [A-Z]{{2}}\d? ?\d[A-Z\d]{{1,4}})?)?"
@@ -174,14 +184,19 @@ def find(doc: int, text: str, lex: Lexicon, c: Candidates) -> None:
     """Candidates of one text, with their features."""
     w = WEIGHTS
     blocked: list[tuple[int, int]] = []
-    if _HAS_AT.search(text):
-        for m in _EMAIL.finditer(text):
-            local = re.split(_AT, m[0], maxsplit=1, flags=re.I)[0]
-            if m.start() and text[m.start() - 1] in "/":
-                continue
-            c.add(doc, m.start(), m.end(), {EMAIL: w["email"]}, ("t", m[0].casefold()), *(("e", p) for p in re.split(r"[._+\d-]+", local.lower()) if len(p) > 3))
-            blocked.append(m.span())
-    if _HAS_STREET.search(text):
+    done = 0
+    for at in _HAS_AT.finditer(text):
+        if at.end() <= done:
+            continue
+        left = max(done, at.start() - 80)
+        m = next((m for m in _EMAIL.finditer(text, left, at.end() + 160) if m.end() >= at.end()), None)
+        if m is None or m.start() > at.start() or (m.start() and text[m.start() - 1] == "/"):
+            continue
+        local = re.split(_AT, m[0], maxsplit=1, flags=re.I)[0]
+        c.add(doc, m.start(), m.end(), {EMAIL: w["email"]}, ("t", m[0].casefold()), *(("e", p) for p in re.split(r"[._+\d-]+", local.lower()) if len(p) > 3))
+        blocked.append(m.span())
+        done = m.end()
+    if any(x in text for x in _STREET_PARTS):
         for m in _STREET.finditer(text):
             start = m.start()
             rest = _REST.match(text, m.end())
@@ -190,7 +205,8 @@ def find(doc: int, text: str, lex: Lexicon, c: Candidates) -> None:
             label = bool(re.search(r"(?:address|adresse|anschrift|direcci[oó]n|return to|ship\b.*to|site|stands at|steht in|enviar a|envoyer au)\W*$", before, re.I))
             c.add(doc, start, end, {ADDRESS: w["address"] + w["street_label"] * label}, ("t", m[0].casefold()))
             blocked.append((start, end))
-    for m in _ID.finditer(text):
+    low = text.lower()
+    for m in _ID.finditer(text) if any(x in low for x in _ID_PARTS) else ():
         body = _ID_BODY.match(text, m.start(1))
         if body and len(re.sub(r"[^A-Za-z0-9]", "", body[0])) >= 7:
             c.add(doc, body.start(), body.end(), {ID: w["id_label"]}, ("t", re.sub(r"\W", "", body[0])))
@@ -203,7 +219,7 @@ def find(doc: int, text: str, lex: Lexicon, c: Candidates) -> None:
         return (i >= 0 and blocked[i][1] > a) or (i + 1 < len(starts) and starts[i + 1] < b)
 
     for m in _PHONE.finditer(text):
-        if len(m[0]) < 7 or inside(*m.span()):
+        if m.end() - m.start() < 7 or inside(*m.span()):
             continue
         before = text[max(0, m.start() - 30) : m.start()].rpartition("\n")[2]
         s = _phone_score(m[0], before)
