@@ -21,13 +21,14 @@ No entity is gathered in one task: see `ordered`.
 from __future__ import annotations
 
 import json
-from decimal import Decimal
+from decimal import Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut
 from .ordered import chunk_of, with_next, with_ordinal, with_previous
 
 DAY_NS = 86_400 * 10**9
@@ -47,8 +48,13 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
-def _number(x) -> str:
-    return str(Decimal(x).normalize() + 0) if Decimal(x) else "0"
+_EXACT = Context(prec=1000)
+
+
+def _number(x: Decimal) -> str:
+    """One text for one value (exact up to 1000 digits)."""
+    x = _EXACT.normalize(x)
+    return format(x, "f") if x and abs(x.adjusted()) < 40 else str(x) if x else "0"
 
 
 def _canonical(x) -> str:
@@ -56,7 +62,7 @@ def _canonical(x) -> str:
         return "{" + ",".join(f"{json.dumps(k)}:{_canonical(x[k])}" for k in sorted(x)) + "}"
     if isinstance(x, list):
         return "[" + ",".join(map(_canonical, x)) + "]"
-    if isinstance(x, (int, Decimal)) and not isinstance(x, bool):
+    if isinstance(x, Decimal):
         return _number(x)
     return json.dumps(x)
 
@@ -162,4 +168,4 @@ def attribute_history(
 ) -> DataFrame:
     """The full history of each entity: keys, valid_from, valid_to, attrs."""
     log = change_log(observed_states(df, keys, version, ts, metadata), keys, attributes, chunk_ns)
-    return state_periods(log, keys)
+    return state_periods(cut(log), keys)  # the log is read several times
