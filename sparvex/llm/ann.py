@@ -22,6 +22,7 @@ All rows are indexed and all rows are queries. Null, wrong, zero and NaN values
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,7 +188,7 @@ def fit(x: np.ndarray, rows: int, seed: int = 0) -> Model:
     m.regions = _regions(centres, count * (rows / max(len(x), 1)), REGION_ROWS)
     cell = cell_of(m, x, near)
     m.eta = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    some = rng.permutation(len(x))[:8192]
+    some = rng.permutation(len(x))[:4096]
     m.words = _fit_words(_residuals(m, x[some], cell[some])[0], _blocks(x[some]), m.eta, rng)
     return m
 
@@ -223,15 +224,28 @@ def probes(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tables(m: Model, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a batch: 16-bit tables (bytes, 256, queries), and the step and base that give scores back."""
+    """For a batch: 16-bit tables (bytes of two codes, 256, queries), and the step and base that give scores back.
+
+    The parallel parts of a residual cancel over the blocks, so the entries need more than eight bits.
+    """
     t = np.einsum("bwd,nbd->bwn", m.words, _blocks(q), optimize=True)
     low = t.min(1, keepdims=True)
-    step = np.maximum((t.max(1) - low[:, 0]).max(0), 1e-12) / (65535 // len(t))
-    t = ((t - low) / step).astype(np.uint16)
+    step = np.maximum((t.max(1) - low[:, 0]).max(0), 1e-12) / (65535 // len(t) - 1)
+    t = ((t - low) / step + 0.5).astype(np.uint16)
     pair = t[0::2, None, :, :] + t[1::2, :, None, :]
     return pair.reshape(len(t) // 2, 256, -1), step.astype(np.float32), low[:, 0].sum(0)
 
 
+def _scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of table entries, (rows, queries); codes: (bytes, rows)."""
+    total = np.take(tables[0], codes[0], axis=0, mode="clip")
+    part = np.empty_like(total)
+    for j in range(1, len(tables)):
+        np.take(tables[j], codes[j], axis=0, out=part, mode="clip")
+        total += part
+    return total.astype(np.float32)
+
+
 def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_self: np.ndarray, q_probe: np.ndarray):
     """The best EXACT vectors of a region for each query: indices (-1: none) and cosines.
 
@@ -243,6 +257,7 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
     used, first = np.unique(lists[order], return_index=True)
     ends = np.append(first[1:], len(order))
     blocks = [(one, order[i : min(i + _BLOCK, b)]) for one, a, b in zip(used, first, ends) for i in range(a, b, _BLOCK)]
+    blocks = [(one, rows, np.ascontiguousarray(codes[rows].T).astype(np.intp)) for one, rows in blocks]
     here, local = np.unique(cells, return_inverse=True)
     x32, q32 = x.astype(np.float32), q.astype(np.float32)
     found, score = np.full((len(q), EXACT), -1, np.int64), np.full((len(q), EXACT), -np.inf)
@@ -252,27 +267,22 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
     for start in range(0, len(q), _BATCH):
         batch = turn[start : start + _BATCH]
         tables, step, base = _tables(m, q32[batch])
-        offset = m.means[here] @ q32[batch].T
+        # Scores are in about [-1, 1]. Brought to [1, 2), their bits sort like them and the low ones can hold the row.
+        step, base = 0.4 * step, 0.4 * base
+        offset = 0.4 * (m.means[here] @ q32[batch].T) + np.float32(1.5)
         best, index = np.full((len(batch), RERANK), -np.inf, np.float32), np.full((len(batch), RERANK), -1, np.int64)
-        for one, rows in blocks:
+        for one, rows, block_codes in blocks:
             cols = np.flatnonzero(q_probe[batch, one])
             if not len(cols):
                 continue
             if 3 * len(cols) >= len(batch):
                 cols = np.arange(len(batch))  # cheaper than to copy the tables of a few
             part = tables if len(cols) == len(batch) else tables[:, :, cols]
-            c = codes[rows]
-            total = part[0][c[:, 0]]
-            for j in range(1, len(part)):
-                total += part[j][c[:, j]]
-            s = total.astype(np.float32)
+            s = _scan(part, block_codes)
             s *= step[cols]
             s += base[cols]
             s *= sizes[rows, None]
-            s += offset[local[rows]][:, cols]
-            # scores are in about [-1, 1]; as a float in [1, 2) its bits sort like the score, the low ones hold the row
-            s *= 0.4
-            s += 1.5
+            s += offset[local[rows]] if len(cols) == len(batch) else offset[local[rows]][:, cols]
             key = np.ascontiguousarray(s.T).view(np.uint32)
             key &= ~low_bits
             key |= np.arange(len(rows), dtype=np.uint32)
@@ -315,7 +325,7 @@ def fit_models(keyed: DataFrame) -> dict[str, Model]:
     return {r.coll_name: pickle.loads(r.model) for r in rows}
 
 
-_PLACED = "coll_name string, region int, member boolean, dir_key binary, vec_values array<float>, ids array<string>"
+_PLACED = "coll_name string, region int, member boolean, id string, dir_key binary, vec_values array<float>, ids array<string>"
 
 
 def _place(models: dict[str, Model], batch: pa.RecordBatch):
@@ -339,19 +349,21 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
                 pa.array([name] * len(r)),
                 pa.array(region.astype(np.int32)),
                 pa.array(member),
+                part.column("id").take(take),
                 part.column("dir_key").take(take),
                 part.column("vec_values").take(take),
                 part.column("ids").take(at_home),
             ],
-            names=["coll_name", "region", "member", "dir_key", "vec_values", "ids"],
+            names=["coll_name", "region", "member", "id", "dir_key", "vec_values", "ids"],
         )
 
 
 _FOUND = "coll_name string, dir_key binary, near array<struct<far:int,id:string>>"
 
 
-def _search_table(m: Model, name: str, t: pa.Table, keep: int) -> pa.Table:
-    t = t.combine_chunks()
+def _find(m: Model, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of a region: which are its members, each row's number among them (-1: a visitor), and for each
+    row the nearest members and their cosines."""
     member = t["member"].to_numpy(zero_copy_only=False)
     q = unit(matrix(t["vec_values"]))
     home = np.flatnonzero(member)
@@ -359,34 +371,35 @@ def _search_table(m: Model, name: str, t: pa.Table, keep: int) -> pa.Table:
     own, mask = probes(m, q32)
     q_self = np.full(len(q), -1)
     q_self[home] = np.arange(len(home))
-    if len(home):
-        cells = cell_of(m, q32[home], own[home])
-        codes, sizes = encode(m, q32[home], cells)
-        found, score = search_region(m, q[home], cells, codes, sizes, q, q_self, mask)
-        ids = t["ids"].combine_chunks().take(pa.array(home))
-    else:
-        found, score = np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf)
-        ids = pa.array([], pa.list_(pa.string()))
+    if not len(home):
+        return home, q_self, np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf)
+    cells = cell_of(m, q32[home], own[home])
+    codes, sizes = encode(m, q32[home], cells)
+    found, score = search_region(m, q[home], cells, codes, sizes, q, q_self, mask)
+    return home, q_self, found, np.round(score, 6)
+
+
+def _near_table(name: str, t: pa.Table, home: np.ndarray, q_self: np.ndarray, found: np.ndarray, score: np.ndarray, keep: int) -> pa.Table:
+    ids = t["ids"].combine_chunks().take(pa.array(home))
     # a member also has its own copies; more than `keep` directions can't be needed but for ties
-    score = np.concatenate([np.ones((len(q), 1)), np.round(score, 6)], 1)
+    score = np.concatenate([np.ones((len(t), 1)), score], 1)
     found = np.concatenate([q_self[:, None], found], 1)
     good = (found >= 0) & (score >= score[:, min(keep, score.shape[1] - 1)][:, None])
     row, _ = np.nonzero(good)
     lists = ids.take(pa.array(found[good]))
     lens = np.asarray(lists.value_lengths())
     far = np.repeat(np.round(-1e6 * score[good]).astype(np.int32), lens)
-    per_row = np.bincount(row, lens, len(q)).astype(np.int64)
+    per_row = np.bincount(row, lens, len(t)).astype(np.int64)
     near = pa.StructArray.from_arrays([pa.array(far), lists.flatten()], names=["far", "id"])
     offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
-    return pa.table({"coll_name": pa.array([name] * len(q)), "dir_key": t["dir_key"], "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
+    return pa.table({"coll_name": pa.array([name] * len(t)), "dir_key": t["dir_key"], "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
 
 
-def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
-    """coll_name, dir_key, near: for each direction the k + 1 nearest ids, its own included, as (far, id):
-    the negative cosine in millionths, and the id. If `keyed` was made with `keep` of 1, an id stands for its
-    direction, else at most `keep` ids of a direction are listed.
+def search_regions(keyed: DataFrame, finish: Callable, schema: str, columns: tuple[str, ...] = ("id", "dir_key", "ids")) -> DataFrame:
+    """Search all regions; `finish(name, table, home, q_self, found, score)` makes a region's rows of `schema`.
 
-    `keyed`: the rows of `vectors.directions`; it is read several times, so pass a checkpointed table.
+    `keyed`: the rows of `vectors.directions`; it is read several times, so pass a checkpointed table. Only `columns`
+    of a direction, besides its values, travel to the regions.
     """
     spark = keyed.sparkSession
     models = spark.sparkContext.broadcast(fit_models(keyed))
@@ -396,12 +409,26 @@ def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
             yield from _place(models.value, b)
 
     def search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        name = key[0].as_py()
-        return _search_table(models.value[name], name, t, k + 1)
+        name, t = key[0].as_py(), t.combine_chunks()
+        return finish(name, t, *_find(models.value[name], t))
+
+    heads = keyed.where(F.col("ids").isNotNull())
+    kinds = {"id": "string", "dir_key": "binary", "ids": "array<string>"}
+    sent = (F.col(c) if c in columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items())
+    placed = heads.select("coll_name", "vec_values", *sent).mapInArrow(place, _PLACED)
+    return placed.groupBy("coll_name", "region").applyInArrow(search, schema)
+
+
+def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
+    """coll_name, dir_key, near: for each direction the k + 1 nearest ids, its own included, as (far, id):
+    the negative cosine in millionths, and the id. If `keyed` was made with `keep` of 1, an id stands for its
+    direction, else at most `keep` ids of a direction are listed.
+    """
+
+    def finish(name, t, home, q_self, found, score):
+        return _near_table(name, t, home, q_self, found, score, k + 1)
 
-    columns = keyed.where(F.col("ids").isNotNull()).select("coll_name", "dir_key", "vec_values", "ids")
-    placed = columns.mapInArrow(place, _PLACED)
-    found = placed.groupBy("coll_name", "region").applyInArrow(search, _FOUND)
+    found = search_regions(keyed, finish, _FOUND, ("dir_key", "ids"))
     merged = found.groupBy("coll_name", "dir_key").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.select("coll_name", "dir_key", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
 
