@@ -4,16 +4,17 @@ Plan
 1. Copies (also scaled ones) become one direction with its few smallest ids (`vectors.directions`).
 2. Fit per collection on a bounded sample (`SAMPLE_ROWS`, chosen by id hash): lists (spherical k-means, about
    `LIST_ROWS` vectors each, at most `MAX_LISTS`), inside each list about one cell per `CELL_ROWS` vectors, and a
-   two-dimensions-per-block, sixteen-words-per-block code book for the residuals from the cells' means. The code book and the codes minimise the anisotropic loss: the part of the residual error
-   that is parallel to the data point, which distorts large inner products, weighs `eta` times the rest.
+   two-dimensions-per-block, sixteen-words-per-block code book for the residuals from the cells' means. The code
+   book and the codes minimise the anisotropic loss: the part of the residual error that is parallel to the data
+   point, which distorts large inner products, weighs `eta` times the rest.
    Nearby lists form regions of about `REGION_ROWS` vectors; a region is the unit of work, so a collection or a
-   similarity group with a third of all rows is spread over many tasks.
+   similarity group with a third of all rows is spread over many tasks. A list with more rows is split into parts.
 3. Every direction goes to its list's region and visits the other regions that hold lists it probes.
    Probes: all lists with a cell whose centre has a cosine of `DENSE` or more, so that a large dense group is
-   searched whole, and the nearest ones, `SHARE` of the lists for vectors in no dense place, within `MAX_PROBES`.
-4. In a region, its members are coded; tables of sixteen partial scores per block, combined to one table per byte of two four-bit
-   codes, are summed over the codes of a list for a batch of queries. The best `PER_LIST` of each list, then
-   the best `RERANK` of the region, are scored again exactly (float64).
+   searched whole, and the nearest ones, more of them for vectors in no dense place (`Budget`), within `MAX_PROBES`.
+4. In a region, its members are coded; tables of sixteen partial scores per block, combined to one table per byte
+   of two four-bit codes, are summed over the codes of a list for a batch of queries. The best of each list, then
+   of the region (`Budget`), are scored again exactly (float64).
 5. The regions' results of a query are merged; ids of copies are put in; ties go to the smaller id.
 
 All rows are indexed and all rows are queries. Null, wrong, zero and NaN values never come this far
@@ -30,18 +31,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, release
 from .vectors import directions, matrix, unit
 
 SAMPLE_ROWS = 12_288
 LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 2048
 REGION_ROWS = 16_384
-DENSE, SHARE, MIN_PROBES, MAX_PROBES = 0.8, 0.15, 8, 256
-PER_LIST, RERANK, EXACT = 48, 80, 12
+DENSE, MAX_PROBES, EXACT = 0.8, 256, 12
 THRESHOLD = 0.45
 _BATCH, _BLOCK = 128, 512
 
 
+@dataclass(frozen=True)
+class Budget:
+    """How much a search looks at: the nearest lists that are probed at least, the share of the lists that a vector in
+    no dense place probes (two times the least at least; with 0, the least), whether a vector in a dense place
+    probes all lists of it, the candidates kept per list, and those scored exactly per region."""
+
+    least: int = 8
+    share: float = 0.15
+    dense: bool = True
+    per_list: int = 48
+    rerank: int = 80
+
+
 @dataclass
 class Model:
     """What the index of one collection needs; its size is bounded by MAX_LISTS."""
@@ -50,6 +63,7 @@ class Model:
     cells: np.ndarray  # (cells,): the list of each cell, ascending
     means: np.ndarray  # (cells, dim)
     regions: np.ndarray  # (lists,)
+    parts: np.ndarray  # (regions,): into how many tasks the members of a region are split
     words: np.ndarray  # (blocks, 16, 2)
     eta: float
 
@@ -184,8 +198,10 @@ def fit(x: np.ndarray, rows: int, seed: int = 0) -> Model:
         else:
             c = (mine.mean(0) if len(mine) else centres[one])[None]
         means.append(c)
-    m = Model(centres, np.array(cells), np.concatenate(means).astype(np.float32), np.zeros(0), np.zeros(0), 1.0)
-    m.regions = _regions(centres, count * (rows / max(len(x), 1)), REGION_ROWS)
+    m = Model(centres, np.array(cells), np.concatenate(means).astype(np.float32), np.zeros(0), np.zeros(0), np.zeros(0), 1.0)
+    estimate = count * (rows / max(len(x), 1))
+    m.regions = _regions(centres, estimate, REGION_ROWS)
+    m.parts = np.maximum(np.ceil(np.bincount(m.regions, estimate) / REGION_ROWS - 0.25), 1).astype(int)
     cell = cell_of(m, x, near)
     m.eta = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     some = rng.permutation(len(x))[:4096]
@@ -204,17 +220,18 @@ def encode(m: Model, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.n
     return c[:, 0::2] | (c[:, 1::2] << 4), np.concatenate(sizes)
 
 
-def probes(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probes(m: Model, x: np.ndarray, budget: Budget = Budget()) -> tuple[np.ndarray, np.ndarray]:
     """(own list, mask of the lists each row probes)."""
     s = x @ m.centres.T
     own, k = np.argmax(s, 1), s.shape[1]
-    few = min(k, MIN_PROBES)
-    many = min(k, max(2 * MIN_PROBES, int(np.ceil(SHARE * k))), MAX_PROBES)
+    few = min(k, budget.least)
+    many = min(k, max(2 * budget.least, int(np.ceil(budget.share * k))) if budget.share else budget.least, MAX_PROBES)
     inside = np.maximum.reduceat(x @ _directions(m.means).T, np.searchsorted(m.cells, np.arange(k)), axis=1)
     dense = inside.max(1) >= DENSE
     near = -np.sort(-s, 1)
     mask = s >= np.where(dense, near[:, few - 1], near[:, many - 1])[:, None]
-    mask |= dense[:, None] & (inside >= DENSE)
+    if budget.dense:
+        mask |= dense[:, None] & (inside >= DENSE)
     if k > MAX_PROBES:
         best = np.maximum(s, inside)
         best[~mask] = -2
@@ -246,7 +263,7 @@ def _scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return total.astype(np.float32)
 
 
-def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_self: np.ndarray, q_probe: np.ndarray):
+def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_self: np.ndarray, q_probe: np.ndarray, budget: Budget = Budget()):
     """The best EXACT vectors of a region for each query: indices (-1: none) and cosines.
 
     x: the region's unit vectors (float64) with their cells, codes and residual sizes; q: the queries (float64), q_self: a
@@ -270,7 +287,7 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
         # Scores are in about [-1, 1]. Brought to [1, 2), their bits sort like them and the low ones can hold the row.
         step, base = 0.4 * step, 0.4 * base
         offset = 0.4 * (m.means[here] @ q32[batch].T) + np.float32(1.5)
-        best, index = np.full((len(batch), RERANK), -np.inf, np.float32), np.full((len(batch), RERANK), -1, np.int64)
+        best, index = np.full((len(batch), budget.rerank), -np.inf, np.float32), np.full((len(batch), budget.rerank), -1, np.int64)
         for one, rows, block_codes in blocks:
             cols = np.flatnonzero(q_probe[batch, one])
             if not len(cols):
@@ -286,11 +303,11 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
             key = np.ascontiguousarray(s.T).view(np.uint32)
             key &= ~low_bits
             key |= np.arange(len(rows), dtype=np.uint32)
-            if len(rows) > PER_LIST:
-                key = np.partition(key, len(rows) - PER_LIST, axis=1)[:, -PER_LIST:]
+            if len(rows) > budget.per_list:
+                key = np.partition(key, len(rows) - budget.per_list, axis=1)[:, -budget.per_list:]
             s = np.concatenate([best[cols], (key & ~low_bits).view(np.float32)], 1)
             i = np.concatenate([index[cols], rows[key & low_bits]], 1)
-            keep = np.argpartition(-s, RERANK - 1, axis=1)[:, :RERANK]
+            keep = np.argpartition(-s, budget.rerank - 1, axis=1)[:, :budget.rerank]
             best[cols], index[cols] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
         bad = (index < 0) | (index == q_self[batch, None])
         exact = np.einsum("nd,nrd->nr", q32[batch], x32[index])
@@ -328,20 +345,24 @@ def fit_models(keyed: DataFrame) -> dict[str, Model]:
 _PLACED = "coll_name string, region int, member boolean, id string, dir_key binary, vec_values array<float>, ids array<string>"
 
 
-def _place(models: dict[str, Model], batch: pa.RecordBatch):
+def _place(models: dict[str, Model], batch: pa.RecordBatch, budget: Budget):
     """Rows of the regions: each direction at home, and as a visitor where it probes."""
     names = batch.column("coll_name").to_pylist()
+    # the part of a region is drawn from a seed that depends on the rows alone, so a task that runs again places them alike
+    rng = np.random.default_rng(int(matrix(batch.column("vec_values").slice(0, 1)).view(np.uint64).sum() % 2**63) if batch.num_rows else 0)
     for name in sorted(set(names)):
         m = models.get(name)
         if m is None:
             continue
         part = batch.take(pa.array(np.flatnonzero(np.array([n == name for n in names]))))
-        own, mask = probes(m, unit(matrix(part.column("vec_values"))).astype(np.float32))
-        home = m.regions[own]
-        visits = np.zeros((len(own), m.regions.max() + 1), bool)
+        own, mask = probes(m, unit(matrix(part.column("vec_values"))).astype(np.float32), budget)
+        visits = np.zeros((len(own), len(m.parts)), bool)
         row, one = np.nonzero(mask)
         visits[row, m.regions[one]] = True
-        r, region = np.nonzero(visits)
+        first = np.cumsum(m.parts) - m.parts
+        home = m.regions[own]
+        home = first[home] + (rng.integers(0, 2**31, len(own)) % m.parts[home] if m.parts.max() > 1 else 0)
+        r, region = np.nonzero(np.repeat(visits, m.parts, axis=1))
         member = home[r] == region
         take, at_home = pa.array(r), pa.array(r, mask=~member)  # visitors bring no ids
         yield pa.RecordBatch.from_arrays(
@@ -361,21 +382,21 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch):
 _FOUND = "coll_name string, dir_key binary, near array<struct<far:int,id:string>>"
 
 
-def _find(m: Model, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _find(m: Model, t: pa.Table, budget: Budget) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the rows of a region: which are its members, each row's number among them (-1: a visitor), and for each
     row the nearest members and their cosines."""
     member = t["member"].to_numpy(zero_copy_only=False)
     q = unit(matrix(t["vec_values"]))
     home = np.flatnonzero(member)
     q32 = q.astype(np.float32)
-    own, mask = probes(m, q32)
+    own, mask = probes(m, q32, budget)
     q_self = np.full(len(q), -1)
     q_self[home] = np.arange(len(home))
     if not len(home):
         return home, q_self, np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf)
     cells = cell_of(m, q32[home], own[home])
     codes, sizes = encode(m, q32[home], cells)
-    found, score = search_region(m, q[home], cells, codes, sizes, q, q_self, mask)
+    found, score = search_region(m, q[home], cells, codes, sizes, q, q_self, mask, budget)
     return home, q_self, found, np.round(score, 6)
 
 
@@ -395,7 +416,9 @@ def _near_table(name: str, t: pa.Table, home: np.ndarray, q_self: np.ndarray, fo
     return pa.table({"coll_name": pa.array([name] * len(t)), "dir_key": t["dir_key"], "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
 
 
-def search_regions(keyed: DataFrame, finish: Callable, schema: str, columns: tuple[str, ...] = ("id", "dir_key", "ids")) -> DataFrame:
+def search_regions(
+    keyed: DataFrame, finish: Callable, schema: str, columns: tuple[str, ...] = ("id", "dir_key", "ids"), budget: Budget = Budget()
+) -> DataFrame:
     """Search all regions; `finish(name, table, home, q_self, found, score)` makes a region's rows of `schema`.
 
     `keyed`: the rows of `vectors.directions`; it is read several times, so pass a checkpointed table. Only `columns`
@@ -403,14 +426,15 @@ def search_regions(keyed: DataFrame, finish: Callable, schema: str, columns: tup
     """
     spark = keyed.sparkSession
     models = spark.sparkContext.broadcast(fit_models(keyed))
+    release(spark)
 
     def place(batches):
         for b in batches:
-            yield from _place(models.value, b)
+            yield from _place(models.value, b, budget)
 
     def search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         name, t = key[0].as_py(), t.combine_chunks()
-        return finish(name, t, *_find(models.value[name], t))
+        return finish(name, t, *_find(models.value[name], t, budget))
 
     heads = keyed.where(F.col("ids").isNotNull())
     kinds = {"id": "string", "dir_key": "binary", "ids": "array<string>"}

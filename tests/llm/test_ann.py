@@ -72,3 +72,33 @@ def test_copies_ties_and_dirty_rows(spark):
     ids = [f"v{i:04d}" for i in range(12)]
     assert pairs == {(a, b) for a in ids[:6] for b in ids if a < b and (a in ids[:5] or False)} | {(ids[i], ids[5]) for i in range(5)}
     assert most_similar(usable.limit(0)).count() == 0
+
+
+def test_large_lists_are_split(groups, monkeypatch):
+    import pyarrow as pa
+
+    from sparvex.llm import ann
+
+    monkeypatch.setattr(ann, "REGION_ROWS", 100)
+    monkeypatch.setattr(ann, "LIST_ROWS", 500)
+    x = unit(groups)
+    m = fit(x, len(x))
+    assert m.parts.max() > 1
+    ids = [f"v{i:04d}" for i in range(len(x))]
+    batch = pa.RecordBatch.from_pydict({
+        "coll_name": ["c"] * len(x), "id": ids, "dir_key": [i.encode() for i in ids], "ids": [[i] for i in ids],
+        "vec_values": pa.array(x.tolist(), pa.list_(pa.float32())),
+    })
+    placed = pa.Table.from_batches(list(ann._place({"c": m, "x": m}, batch, ann.Budget())))
+    regions = np.array(placed["region"])
+    assert len(np.unique(regions)) == m.parts.sum() and placed["member"].to_pylist().count(True) == len(x)
+    near = {i: [] for i in ids}
+    for r in np.unique(regions):
+        t = placed.take(pa.array(np.flatnonzero(regions == r))).combine_chunks()
+        home, _, found, score = ann._find(m, t, ann.Budget())
+        names = t["id"].to_pylist()
+        for q, f, s in zip(names, found, score):
+            near[q] += [(-v, names[home[j]]) for j, v in zip(f, s) if j >= 0]
+    want, _ = brute(groups, 5)
+    hits = sum(len({ids[j] for j in w} & {n for _, n in sorted(near[ids[i]])[:5]}) for i, w in enumerate(want))
+    assert hits / (5 * len(want)) >= 0.9
