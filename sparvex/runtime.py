@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,5 +45,7 @@ def release(spark: SparkSession) -> None:
 
     They go when the driver collects its garbage, which on a large driver may be long after the disks are full.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees Python's references, which reach the driver's JVM with a delay
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
