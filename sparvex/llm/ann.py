@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from ..runtime import cut, release
 from .vectors import directions, matrix, unit
 
-SAMPLE_ROWS = 12_288
+SAMPLE_ROWS = 8_192
 LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 2048
-REGION_ROWS = 16_384
+REGION_ROWS = 24_576
 DENSE, MAX_PROBES, EXACT = 0.8, 256, 12
 THRESHOLD = 0.45
 _BATCH, _BLOCK = 128, 512
