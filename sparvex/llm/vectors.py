@@ -67,10 +67,11 @@ def directions(usable: DataFrame, keep: int) -> DataFrame:
     The rank limit is applied before the shuffle, so a group of copies of any size sends few rows, and only keys
     are shuffled: the values stay where finding the current rows has put them.
     """
-    keyed = usable.withColumn("dir_key", _direction_key("vec_values"))
+    # The Python function stays off the values' path: behind it Spark would not know their partitioning any more.
+    keyed = usable.select("coll_name", "id", _direction_key("vec_values").alias("dir_key"))
     w = Window.partitionBy("coll_name", "dir_key").orderBy("id")
     few = keyed.select("coll_name", "dir_key", "id", F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= keep)
     heads = few.groupBy("coll_name", "dir_key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     heads = heads.select("coll_name", F.col("ids")[0].alias("id"), "ids")
-    whole = keyed.join(heads, ["coll_name", "id"], "left")
+    whole = usable.join(keyed.join(heads, ["coll_name", "id"], "left"), ["coll_name", "id"])
     return whole.withColumn("vec_values", F.when(F.col("ids").isNotNull(), F.col("vec_values").cast("array<float>")))
