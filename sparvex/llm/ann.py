@@ -321,8 +321,8 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
     return found, score
 
 
-def fit_models(keyed: DataFrame) -> dict[str, Model]:
-    """The index models of all collections; each is fitted in its own task on its bounded sample."""
+def fit_models(keyed: DataFrame, fitted: Callable = fit) -> dict:
+    """The models that `fitted(sample, rows)` makes, by collection; each in its own task on its bounded sample."""
     import pickle
 
     keyed = keyed.where(F.col("ids").isNotNull())
@@ -332,7 +332,7 @@ def fit_models(keyed: DataFrame) -> dict[str, Model]:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         name = key[0].as_py()
         t = t.sort_by([("id", "ascending")])
-        return pa.table({"coll_name": [name], "model": [pickle.dumps(fit(unit(matrix(t["vec_values"])), counts[name]))]})
+        return pa.table({"coll_name": [name], "model": [pickle.dumps(fitted(unit(matrix(t["vec_values"])), counts[name]))]})
 
     if not counts:
         return {}

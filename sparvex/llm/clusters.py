@@ -15,6 +15,8 @@
 5. Each cluster gets its size, its most persistent members (those that stay in it up to the densest level),
    and for each metadata field the most usual value.
 
+The flat groups of a least similarity (`similarity_groups`) do not use the neighbour graph but all links (`links`).
+
 Ties always go to the smaller id. Vectors in no cluster are noise and not listed. Unusable vectors never come
 this far; an empty table gives an empty result.
 """
@@ -31,12 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .ann import Budget, nearest_directions, search_regions
+from .ann import nearest_directions
+from .links import link_forest
 from .vectors import directions
 
-NEIGHBOURS, FOREST_NEIGHBOURS = 8, 6
-#: Neighbours within a range stand in the nearest lists; some of them are enough to connect a tight group.
-RANGE = Budget(least=6, share=0.0, dense=False, per_list=16, rerank=24)
+NEIGHBOURS = 8
 #: Distances (1 - cosine) at which the hierarchy is cut, from loose to dense.
 LADDER = (0.3, 0.15, 0.1, 0.06, 0.035, 0.015)
 LAST_EDGES = 50_000
@@ -64,33 +65,6 @@ def neighbour_graph(keyed: DataFrame, neighbours: int = NEIGHBOURS, min_samples:
     return e.groupBy("coll_name", "a", "b").agg(F.min("length").alias("length"))
 
 
-def neighbour_forest(keyed: DataFrame, neighbours: int = FOREST_NEIGHBOURS, longest: float = LADDER[0]) -> DataFrame:
-    """The edges of `neighbour_graph` with plain distances (min_samples of 2), already thinned to a forest inside each
-    region: the nearest members of a region, found for its own rows and its visitors. Visitors' links to the nearest
-    members of each region are kept, so the edges hold those of the merged neighbour lists."""
-
-    def finish(name, t, home, q_self, found, score):
-        found, score = found[:, :neighbours], score[:, :neighbours]
-        row, at = np.nonzero((found >= 0) & (1 - score <= longest + 1e-9))
-        ids = t["id"].combine_chunks()
-        to, length = home[found[row, at]], np.round(1 - score[row, at], 6)
-        order = np.lexsort((to, row, length))
-        parent, keep = list(range(len(t))), []
-        for i, x, y in zip(order.tolist(), row[order].tolist(), to[order].tolist()):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            while parent[y] != y:
-                parent[y] = y = parent[parent[y]]
-            if x != y:
-                parent[x] = y
-                keep.append(i)
-        x, y = ids.take(pa.array(row[keep], pa.int64())), ids.take(pa.array(to[keep], pa.int64()))
-        less = pc.less(x, y)
-        return pa.table({"coll_name": pa.array([name] * len(keep), pa.string()), "a": pc.if_else(less, x, y), "b": pc.if_else(less, y, x), "length": length[keep]})
-
-    return search_regions(keyed, finish, _EDGES, ("id",), RANGE)
-
-
 _EDGES = "coll_name string, a string, b string, length double"
 
 
@@ -197,7 +171,7 @@ def _smallest(labels: DataFrame) -> DataFrame:
 def similarity_groups(usable: DataFrame, least: float = 0.85) -> DataFrame:
     """coll_name, id, first_id: the flat cut of the hierarchy at similarity `least` (a group has two vectors or more)."""
     keyed = cut(directions(usable.select("coll_name", "id", "vec_values"), 1))
-    _, labels = spanning_forest(neighbour_forest(keyed, longest=round(1 - least, 6)))
+    _, labels = spanning_forest(link_forest(keyed, least))
     n = nodes(keyed).join(labels, ["coll_name", "node"], "left")
     n = n.select("coll_name", "dir_key", "weight", F.coalesce("label", "node").alias("first_id"))
     big = n.groupBy("coll_name", "first_id").agg(F.sum("weight").alias("size")).where(F.col("size") > 1)

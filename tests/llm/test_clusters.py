@@ -63,3 +63,19 @@ def test_groups_and_clusters(spark):
     assert {r.id: r.cluster for r in members.collect()} == want
     assert C.similarity_groups(usable.limit(0)).count() == 0
     assert C.clusters(usable.limit(0))[1].count() == 0
+
+
+def test_no_link_is_lost_between_lists(spark):
+    """Isolated pairs at 0.85 to 0.93 among spread vectors, in many lists."""
+    rng = np.random.default_rng(3)
+    one = unit(rng.normal(size=(1500, 64)))
+    other = rng.normal(size=one.shape)
+    other = unit(other - (other * one).sum(1, keepdims=True) * one)
+    cosine = rng.uniform(0.851, 0.93, (len(one), 1))
+    groups = unit(np.repeat(rng.normal(size=(2, 64)), 700, axis=0) + 0.3 * rng.normal(size=(1400, 64)))
+    x = rng.permutation(np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * other, groups, rng.normal(size=(2000, 64))]))
+    usable = usable_vectors(spark.createDataFrame(rows_of(x), VECTORS), spark.createDataFrame([("c", 64)], CONFIG))
+    u = unit(np.asarray(x, np.float32).astype(float))
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.85, 1))
+    want = {f"v{k:04d}": f"v{v:04d}" for k, v in union(zip(i.tolist(), j.tolist())).items()}
+    assert {r.id: r.first_id for r in C.similarity_groups(usable).collect()} == want
