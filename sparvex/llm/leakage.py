@@ -6,12 +6,14 @@ escapes do not count; cell borders of a notebook break passages. An opening inst
 line) that stands in several different items is not counted. Items that normalise to one text all leak.
 
 Filter and verification, per Arrow batch of documents:
-1. Seeds: character q-grams (q = 8) that stand in few items, looked up for all positions of all texts in a bit
-   table; a (document, item) pair needs as many as an edited passage must keep.
-2. Q-gram lemma: for such a pair all shared q-grams are counted in overlapping diagonal bands. An edited word
-   destroys at most its length + q grams, so a window of MIN_WORDS words with two edits keeps at least
-   (length of the item's shortest window) - q + 1 - 2 (longest word + q); bands below that are dropped.
-3. Banded alignment of the words of what is left: runs of equal words near the band's diagonal are chained; a
+1. Seeds: runs of `RUN` equal words, of any item, looked up for all positions of all texts in a bit table. A passage
+   that can be halved has a half that is a passage too, so one of less than 2 MIN_WORDS words, with two edits at most,
+   is enough. Its L words with e edits have L - e equal words in at most e + 1 runs, so at least L - e - (RUN - 1)(e + 1)
+   seeds: 3 for 12 words and one edit, 2 for 16 and two. Their diagonals differ by two at most. No passage has fewer
+   than `SEEDS`.
+2. A (document, item) pair's seeds are put in overlapping diagonal bands, and bands are cut where no seed follows
+   within a passage's length; parts with fewer than SEEDS are dropped.
+3. Banded alignment of the words around what is left: runs of equal words near the band's diagonal are chained; a
    gap costs as many edits as its longer side has words.
 
 Items are a small table (`ITEMS_AT_ONCE` rows are sent to the tasks at once; more are searched in blocks).
@@ -23,9 +25,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_WORDS, ONE_IN = 12, 8
-Q = 8
-SEED_ITEMS, SEEDS = 8, 6
-BAND = 64
+RUN, SEEDS = 5, 2
+BAND = 8
+#: Words beside a seed that its passage can reach: less than two lengths, and the edits.
+REACH = 2 * MIN_WORDS + 2
 ITEMS_AT_ONCE = 5000
 _BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -65,22 +67,30 @@ def words_of(text: str, notebook: bool = False) -> list[str]:
 _WORD_OR_STOP = re.compile(r"[^\W_]+|\x01")
 
 
+def _opening(text: str) -> tuple[str, str] | None:
+    """The first sentence or line, and the whole text, as words; None if it is too short for an instruction."""
+    w = words_of(re.split(r"[.:?!]\s|\n", text.strip(), maxsplit=1)[0])
+    return (" ".join(w), " ".join(words_of(text))) if len(w) >= 5 else None
+
+
 def _openings(texts: list[str]) -> set[str]:
     """First sentences or lines, as words, that several different items share."""
     seen = defaultdict(set)
     for t in texts:
-        head = re.split(r"[.:?!]\s|\n", t.strip(), maxsplit=1)[0]
-        w = words_of(head)
-        if len(w) >= 5:
-            seen[" ".join(w)].add(" ".join(words_of(t)))
+        if o := _opening(t):
+            seen[o[0]].add(o[1])
     return {h for h, full in seen.items() if len(full) > 2}
 
 
 class Items:
-    """The items, without their openings, and the q-gram tables."""
+    """The items, without their openings, and the table of their runs of RUN words.
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        openings = _openings([t for _, t in rows])
+    `openings`: the shared openings, if `rows` are not all items.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], openings: set[str] | None = None):
+        if openings is None:
+            openings = _openings([t for _, t in rows])
         by_words: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for i, t in rows:
             w = words_of(t)
@@ -92,36 +102,34 @@ class Items:
             if len(w) >= MIN_WORDS:
                 by_words[tuple(w)].append(i)
         self.words, self.ids = list(by_words), list(by_words.values())
-        self.grams, self.order, self.least = [], [], []
-        df: Counter = Counter()
+        self.number = {x: n for n, x in enumerate(sorted({x for w in self.words for x in w}))}
+        flat: list[int] = []
         for w in self.words:
-            g = grams(codes(" " + " ".join(w) + " "))
-            o = np.argsort(g, kind="stable")
-            self.grams.append(g[o])
-            self.order.append(o)
-            df.update(np.unique(g).tolist())
-            ends = np.cumsum([len(x) + 1 for x in w])
-            window = min(int(ends[i + MIN_WORDS - 1] - (ends[i - 1] if i else 0)) for i in range(len(w) - MIN_WORDS + 1))
-            self.least.append(max(SEEDS, window - Q + 1 - 2 * (max(map(len, w)) + Q)))
-        pairs = sorted((g, k) for k, own in enumerate(self.grams) for g in np.unique(own).tolist() if df[g] <= SEED_ITEMS)
-        self.seed = np.array([g for g, _ in pairs], np.uint64)
-        self.seed_item = np.array([k for _, k in pairs], np.int64)
+            flat += [self.number[x] for x in w]
+            flat.append(-1)
+        lens = np.array([len(w) + 1 for w in self.words], np.int64)
+        first = np.cumsum(lens) - lens
+        at, seed = _runs(np.array(flat, np.int64))
+        order = np.argsort(seed, kind="stable")
+        self.seed = seed[order]
+        self.seed_item = np.searchsorted(first, at[order], "right") - 1
+        self.seed_at = at[order] - first[self.seed_item] if len(at) else at
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[_slot(self.seed)] = True
 
 
-def codes(text: str) -> np.ndarray:
-    """A byte per character; other than ASCII is folded to 128-255, which the verification makes harmless."""
-    if text.isascii():
-        return np.frombuffer(text.encode("ascii"), np.uint8)
-    a = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.where(a < 128, a, a ^ (a >> np.uint32(8)) | np.uint32(128)).astype(np.uint8)
-
-
-def grams(b: np.ndarray) -> np.ndarray:
-    """The q-gram at every position, eight bytes as one number."""
-    n = max(0, len(b) - Q + 1)
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(b).tobytes(), 0, (1,))
+def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where RUN known words (0 or more) follow each other, and a hash of them; verification makes clashes harmless."""
+    n = max(0, len(numbers) - RUN + 1)
+    known, mixed = np.ones(n, bool), np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(RUN):
+            part = numbers[i : i + n]
+            known &= part >= 0
+            mixed = (mixed ^ part.astype(np.uint64)) * _MULT
+            mixed ^= mixed >> np.uint64(29)
+    at = np.flatnonzero(known)
+    return at, mixed[at]
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
@@ -170,75 +178,77 @@ def _chained(doc: list[str], item: tuple[str, ...], diagonal: int, reach: int) -
     return False
 
 
-def leaks_of(items: Items, text_codes: np.ndarray, doc_words: list[str], k: int, cache: dict) -> bool:
-    """Steps 2 and 3 for one document and one item."""
-    g = grams(text_codes)
-    own, order = items.grams[k], items.order[k]
-    left, right = np.searchsorted(own, g, "left"), np.searchsorted(own, g, "right")
-    hits = right - left
-    pos = np.repeat(np.flatnonzero(hits), hits[hits > 0])
-    inner = np.arange(len(pos)) - np.repeat(np.cumsum(hits[hits > 0]) - hits[hits > 0], hits[hits > 0])
-    diagonal = pos - order[left[pos] + inner]
-    low = diagonal.min(initial=0)
-    starts = None
+def leaks_of(item: tuple[str, ...], at: np.ndarray, item_at: np.ndarray, doc: list[str], k: int, cache: dict) -> bool:
+    """Steps 2 and 3 for one document and one item, from the places of the seeds in both (ascending in the document)."""
+    diagonal = at - item_at
+    done = set()
     for shift in (0, BAND // 2):
-        band = (diagonal - low + shift) // BAND
-        for b in np.flatnonzero(np.bincount(band) >= items.least[k]).tolist():
-            here = band == b
-            if starts is None:
-                starts = np.flatnonzero(text_codes == 32)  # word i begins after the i-th blank
-            a, z = np.searchsorted(starts, [pos[here].min() - 120, pos[here].max() + 120])
-            item = items.words[k]
-            part = doc_words[max(0, a - 1) : z]
-            key = (k, *part)
+        band = (diagonal + shift) // BAND
+        order = np.argsort(band, kind="stable")
+        cuts = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(at[order]) > REACH)) + 1
+        for part in np.split(order, cuts):
+            if len(part) < SEEDS:
+                continue
+            a, z = max(0, int(at[part[0]]) - REACH), int(at[part[-1]]) + RUN + REACH
+            middle = int(band[part[0]]) * BAND - shift + BAND // 2
+            words = doc[a:z]
+            key = (k, middle - a, *words)
+            if key in done:
+                continue
+            done.add(key)
             if key not in cache:
                 if len(cache) > 20_000:
                     cache.clear()
-                # the word diagonal from the seeds' characters: the middle hit
-                inside = np.flatnonzero(here)
-                mid = inside[len(inside) // 2]
-                wi = int(np.searchsorted(starts, pos[mid], "right")) - 1 - max(0, a - 1)
-                wj = _word_at(item, int(pos[mid] - diagonal[mid]))
-                cache[key] = _chained(part, item, wi - wj, 14)
+                cache[key] = _chained(words, item, middle - a, 14)
             if cache[key]:
                 return True
     return False
 
 
-@lru_cache(maxsize=4096)
-def _starts(item: tuple[str, ...]) -> np.ndarray:
-    return np.cumsum([0, *(len(w) + 1 for w in item)])
-
-
-def _word_at(item: tuple[str, ...], char: int) -> int:
-    return int(np.searchsorted(_starts(item), char, "right")) - 1
-
-
 def search_batch(items: Items, texts: list[str | None], cache: dict) -> Iterator[tuple[int, int]]:
     """(place of the text, item id) of all leaks."""
     if not items.words:
         return
     words = [words_of(t, notebook=True) if t else [] for t in texts]
-    joined = [" " + " ".join(w) + " \n" for w in words]
-    b = codes("".join(joined))
-    ends = np.cumsum([len(s) for s in joined])
-    g = grams(b)
-    at = np.flatnonzero(items.bits[_slot(g)])
-    seeds = g[at]
+    get, flat = items.number.get, []
+    for w in words:
+        flat += [get(x, -1) for x in w]
+        flat.append(-1)
+    lens = np.array([len(w) + 1 for w in words], np.int64)
+    first = np.cumsum(lens) - lens
+    at, seeds = _runs(np.array(flat, np.int64))
+    some = items.bits[_slot(seeds)]
+    at, seeds = at[some], seeds[some]
     left, right = np.searchsorted(items.seed, seeds, "left"), np.searchsorted(items.seed, seeds, "right")
     n = right - left
     row = np.repeat(np.arange(len(at)), n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    item = items.seed_item[left[row] + inner]
-    doc = np.searchsorted(ends, at[row], "right")
-    pair, count = np.unique(doc * len(items.words) + item, return_counts=True)
-    for p in pair[count >= SEEDS].tolist():
+    hit = left[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    doc = np.searchsorted(first, at[row], "right") - 1
+    pair = doc * len(items.words) + items.seed_item[hit]
+    order = np.argsort(pair, kind="stable")
+    own, start, count = np.unique(pair[order], return_index=True, return_counts=True)
+    for p, i, c in zip(own.tolist(), start.tolist(), count.tolist()):
+        if c < SEEDS:
+            continue
         d, k = divmod(p, len(items.words))
-        if leaks_of(items, b[ends[d] - len(joined[d]) : ends[d] - 1], words[d], k, cache):
+        mine = order[i : i + c]
+        if leaks_of(items.words[k], at[row[mine]] - first[d], items.seed_at[hit[mine]], words[d], k, cache):
             for i in items.ids[k]:
                 yield d, i
 
 
+def _shared_openings(known: DataFrame) -> set[str]:
+    """`_openings` over an item table of any size; only the shared openings are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [o for t in batch.column(0).to_pylist() if (o := _opening(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["head", "full"])
+
+    heads = known.select("item_text").mapInArrow(run, "head string, full string").distinct().groupBy("head").count()
+    return {r["head"] for r in heads.where(F.col("count") > 2).collect()}
+
+
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id: every document with every item that leaked into it."""
     spark = documents.sparkSession
@@ -246,6 +256,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", kind_doc), T.StructField("item_id", kind_item)])
     known = eval_items.where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).select("item_id", "item_text")
     blocks = max(1, -(-known.count() // ITEMS_AT_ONCE))
+    openings = _shared_openings(known) if blocks > 1 else None
     texts = documents.where(F.length("text") > 0).select("doc_id", "text")
     out = None
     for block in range(blocks):
@@ -254,7 +265,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, cache = Items(sent.value), {}
+            items, cache = Items(sent.value, openings), {}
             for batch in batches:
                 for i in range(0, batch.num_rows, 1000):
                     part = batch.slice(i, 1000)

@@ -48,3 +48,34 @@ def test_table(spark):
     e = spark.createDataFrame(ITEMS, "item_id long, item_text string")
     assert sorted(map(tuple, leaked_items(d, e).collect())) == [(1, 1), (1, 4)]
     assert leaked_items(d.limit(0), e).count() == 0 and leaked_items(d, e.limit(0)).count() == 0
+
+
+def test_items_that_share_their_text():
+    """Many items on one passage: no run of it is rare, and each of them leaks."""
+    words = P1.split()
+    items = [(i, f"Number{i} asks about this: {P1}. Which of them holds, {i} or {i + 1}?") for i in range(30)]
+    edited = " ".join([*words[:5], "other", *words[6:12]])
+    assert {k for _, k in search_batch(Items(items), [f"x y {edited} z"], {})} == set(range(30))
+    assert not list(search_batch(Items(items), [" ".join(words[:11])], {}))
+
+
+def test_any_passage_with_two_edits_is_found():
+    words = [f"w{i}" for i in range(16)]
+    items = Items([(1, " ".join(words))])
+
+    for a in range(1, 15):
+        for b in range(a + 1, 15):
+            for one in ((), ("n",)):
+                text = " ".join([*words[:a], *one, *words[a + 1 : b], "k", *words[b + 1 :]])
+                assert list(search_batch(items, [text], {})) == [(0, 1)], text
+
+
+def test_openings_are_shared_over_blocks(spark, monkeypatch):
+    import sparvex.llm.leakage as L
+
+    monkeypatch.setattr(L, "ITEMS_AT_ONCE", 1)
+    opening = "Read the short story below with care and then answer the one question that follows it in few words"
+    rows = [(i, f"{opening}. " + " ".join(f"q{i}x{j}" for j in range(14))) for i in range(4)]
+    d = spark.createDataFrame([(1, opening), (2, rows[2][1])], "doc_id long, text string")
+    e = spark.createDataFrame(rows, "item_id long, item_text string")
+    assert sorted(map(tuple, leaked_items(d, e).collect())) == [(2, 2)]
