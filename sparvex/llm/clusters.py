@@ -2,7 +2,8 @@
 
 1. Neighbour graph: every direction (copies are one point with a weight) is linked with its nearest ones
    (`ann.nearest_directions`). An edge's length is the mutual reachability: the greatest of the distance
-   1 - cosine and the core distances of its ends, the distances to their (min_samples - 1)-th neighbour.
+   1 - cosine and the core distances of its ends, the distances to their (min_samples - 1)-th neighbour, where
+   each copy counts (`core_distances`).
    With min_samples of 2 or less this is the plain distance.
 2. Minimum spanning forest: edges are first thinned inside regions (the forest of a union is the forest of
    the union of forests), then merged by distributed Boruvka rounds: every component takes its shortest
@@ -48,18 +49,38 @@ def nodes(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("coll_name", "dir_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
 
 
+def core_distances(near: DataFrame, min_samples: int) -> DataFrame:
+    """coll_name, a, core: the distance to the (min_samples - 1)-th other vector, copies counted one by one: those of
+    the direction itself at 0, then each neighbour's. 2.0 if there are fewer. `near`: coll_name, a, weight, others."""
+    # each neighbour stands for one vector or more, so the first (min_samples - 1) are enough
+    first = near.select("coll_name", "a", "weight", F.slice("others", 1, min_samples - 1).alias("first"))
+    own = first.select("coll_name", "a", F.lit(-1_000_000).alias("far"), (F.col("weight") - 1).alias("n"))
+    weights = near.where(F.col("weight") > 1).select("coll_name", F.col("a").alias("id"), F.col("weight").alias("n"))
+    to = first.where(F.col("weight") < min_samples).select("coll_name", "a", F.inline("first")).join(weights, ["coll_name", "id"], "left")
+    steps = own.unionByName(to.select("coll_name", "a", "far", F.coalesce("n", F.lit(1)).alias("n")))
+    steps = steps.groupBy("coll_name", "a").agg(F.array_sort(F.collect_list(F.struct("far", "n"))).alias("steps"))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(2.0).alias("core"))
+
+    def step(so_far, one):
+        core = F.when((so_far["seen"] < min_samples - 1) & (so_far["seen"] + one["n"] >= min_samples - 1), 1 + one["far"] / 1e6)
+        return F.struct((so_far["seen"] + one["n"]).alias("seen"), F.coalesce(core, so_far["core"]).alias("core"))
+
+    return steps.select("coll_name", "a", F.aggregate("steps", start, step)["core"].alias("core"))
+
+
 def neighbour_graph(keyed: DataFrame, neighbours: int = NEIGHBOURS, min_samples: int = 2, longest: float = LADDER[0]) -> DataFrame:
     """coll_name, a, b (a < b), length: edges of mutual reachability up to `longest`."""
     near = nearest_directions(keyed, neighbours).join(nodes(keyed), ["coll_name", "dir_key"])
     others = F.filter("near", lambda n: n["id"] != F.col("node"))
-    core = F.coalesce(1 + F.try_element_at(others, F.lit(max(min_samples - 1, 1)))["far"] / 1e6, F.lit(2.0))
-    near = near.select("coll_name", F.col("node").alias("a"), core.alias("core"), others.alias("others"))
+    near = near.select("coll_name", F.col("node").alias("a"), "weight", others.alias("others"))
     if min_samples > 2:
         near = cut(near)
-    e = near.select("coll_name", "a", "core", F.inline("others")).withColumn("length", F.round(1 + F.col("far") / 1e6, 6))
+    e = near.select("coll_name", "a", F.inline("others")).withColumn("length", F.round(1 + F.col("far") / 1e6, 6))
     if min_samples > 2:
-        cores = near.select("coll_name", F.col("a").alias("id"), F.col("core").alias("core_b"))
-        e = e.join(cores, ["coll_name", "id"]).withColumn("length", F.round(F.greatest("length", "core", "core_b"), 6))
+        cores = core_distances(near, min_samples)
+        for end, core in (("a", "core_a"), ("id", "core_b")):
+            e = e.join(cores.select("coll_name", F.col("a").alias(end), F.col("core").alias(core)), ["coll_name", end])
+        e = e.withColumn("length", F.round(F.greatest("length", "core_a", "core_b"), 6))
     b = F.col("id")
     e = e.where(F.col("length") <= longest).select("coll_name", F.least("a", b).alias("a"), F.greatest("a", b).alias("b"), "length")
     return e.groupBy("coll_name", "a", "b").agg(F.min("length").alias("length"))

@@ -79,3 +79,21 @@ def test_no_link_is_lost_between_lists(spark):
     i, j = np.nonzero(np.triu(u @ u.T >= 0.85, 1))
     want = {f"v{k:04d}": f"v{v:04d}" for k, v in union(zip(i.tolist(), j.tolist())).items()}
     assert {r.id: r.first_id for r in C.similarity_groups(usable).collect()} == want
+
+
+def test_copies_count_in_core_distances(spark):
+    """A has many copies and B, at 0.1, no third neighbour; of C, D and E only D has one copy."""
+
+    def at(cosine, i, j):
+        v = np.zeros(8)
+        v[i], v[j] = cosine, np.sqrt(1 - cosine**2)
+        return v
+
+    a, b = at(1.0, 0, 1), at(0.9, 0, 1)
+    c, d, e = at(1.0, 2, 3), at(0.95, 2, 3), at(0.8, 2, 4)
+    x = np.stack([*[a] * 6, b, c, d, 2 * d, e])
+    usable = usable_vectors(spark.createDataFrame(rows_of(x), VECTORS), spark.createDataFrame([("c", 8)], CONFIG))
+    keyed = C.cut(C.directions(usable.select("coll_name", "id", "vec_values"), 1))
+    got = {(r.a, r.b): r.length for r in C.neighbour_graph(keyed, min_samples=3, longest=0.3).collect()}
+    assert got == {("v0000", "v0006"): 0.1, ("v0007", "v0008"): 0.05, ("v0007", "v0010"): 0.24, ("v0008", "v0010"): 0.24}
+    assert {r.cluster: r["size"] for r in C.clusters(usable, min_size=5)[1].collect()} == {"v0000": 7}
