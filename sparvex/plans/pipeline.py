@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.changefeed import current_state
 from ..operators.history import attribute_history
@@ -16,15 +17,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periods with their attributes, as a JSON array of (attribute, value) pairs sorted by attribute."""
-    from pyspark.sql import functions as F
-
     h = attribute_history(table(spark, sf_dir, "vector_versions"))
     return h.select("coll_name", "id", "valid_from", "valid_to", F.to_json(F.map_entries("attrs")).alias("attrs"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coll_name, id, entry_no: the live vectors and the entry that decided."""
-    return current_state(table(spark, sf_dir, "wal_entries")).select("coll_name", "id", "entry_no")
+    return current_state(table(spark, sf_dir, "wal_entries"), contents=False).select("coll_name", "id", "entry_no")
 
 
 def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +31,14 @@ def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_state(table(spark, sf_dir, "wal_entries")).select("coll_name", "id", "vec_values", "metadata")
 
 
-QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p5_found": p5_found, "p5_state": p5_state}
+def p5_on_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed on a base, which holds before every entry: a row of its own for every vector of the feed and of `vectors`."""
+    names = table(spark, sf_dir, "wal_entries").select("coll_name", "id").union(table(spark, sf_dir, "vectors").select("coll_name", "id")).distinct()
+    base = names.select("coll_name", "id", F.lit(None).cast("array<float>").alias("vec_values"), F.lit('{"base":1}').alias("metadata"))
+    return current_state(table(spark, sf_dir, "wal_entries"), base).select("coll_name", "id", "entry_no", "metadata")
+
+
+QUERIES = {"p5_on_base": p5_on_base, "p1_found": p1_found, "p1_history": p1_history, "p5_found": p5_found, "p5_state": p5_state}
 
 _LIVE = """
   SELECT * FROM (
@@ -51,4 +57,15 @@ told AS (
   WHERE op = 0 AND metadata IS NOT NULL AND (g.at IS NULL OR (w.ts, w.entry_no) > g.at))
 SELECT l.coll_name, l.id, l.vec_values, t.metadata
 FROM live l LEFT JOIN told t ON t.coll_name = l.coll_name AND t.id = l.id AND t.rn = 1""",
+    "p5_on_base": f"""
+WITH valid AS (SELECT * FROM wal_entries WHERE op IN (0, 1) AND id IS NOT NULL AND coll_name IS NOT NULL AND ts IS NOT NULL),
+last AS (SELECT coll_name, id, arg_max(op, (ts, entry_no)) AS op, arg_max(entry_no, (ts, entry_no)) AS entry_no FROM valid GROUP BY ALL),
+gone AS (SELECT coll_name, id, max((ts, entry_no)) AS at FROM valid WHERE op = 1 GROUP BY ALL),
+told AS (
+  SELECT coll_name, id, arg_max(metadata, (ts, entry_no)) AS metadata FROM valid v LEFT JOIN gone g USING (coll_name, id)
+  WHERE op = 0 AND metadata IS NOT NULL AND (g.at IS NULL OR (v.ts, v.entry_no) > g.at) GROUP BY ALL),
+base AS (SELECT coll_name, id FROM wal_entries WHERE id IS NOT NULL AND coll_name IS NOT NULL UNION SELECT coll_name, id FROM vectors WHERE id IS NOT NULL AND coll_name IS NOT NULL)
+SELECT b.coll_name, b.id, l.entry_no, CASE WHEN g.at IS NULL THEN coalesce(t.metadata, '{{"base":1}}') ELSE t.metadata END AS metadata
+FROM base b LEFT JOIN last l USING (coll_name, id) LEFT JOIN gone g USING (coll_name, id) LEFT JOIN told t USING (coll_name, id)
+WHERE l.op IS NULL OR l.op = 0""",
 }

@@ -99,3 +99,44 @@ def test_change_feed_equals_sequential(spark):
     assert current_state(df.limit(0)).count() == 0 and apply_patches(compose_patches(df.limit(0)), b).count() == 2
     ties = spark.createDataFrame([(1, 5, "c", 0, "t", [1.0], None, 7, ""), (2, 5, "c", 1, "t", None, None, 7, ""), (3, None, "c", 0, "u", None, None, 7, "")], WAL)
     assert [(r.id, r.entry_no) for r in current_state(ties).collect()] == [("u", None)]
+
+
+def test_ties_are_one_entry(spark):
+    """Entries of one place that differ: the row is one of them, whatever the file ranges."""
+    rows = [(i, 5, "c", 0, "t", [float(i)], m, 7, "") for i, m in enumerate([None, '{"a":1}', '{"a":4}', None, '{"a":2}'])]
+    for n in (1, 5):
+        got = [(r.vec_values, r.metadata) for r in current_state(spark.createDataFrame(rows, WAL).repartition(n)).collect()]
+        assert got == [([4.0], '{"a":2}')]
+
+
+def test_composition_is_associative(spark):
+    """Any split of a feed into chunks, composed in any order and nesting, gives one patch."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from sparvex.operators.changefeed import PATCH_TYPE, compose, leaf
+
+    random.seed(2)
+    cases = []
+    for _ in range(60):
+        n = random.randint(3, 12)
+        entries = [("k", random.choice([0, 0, 1]), random.randint(0, 4), random.randint(0, 3), None, None) for _ in range(n)]
+        entries = [(k, op, ts, no, [float(ts)] if op == 0 else None, random.choice([None, f'{{"m":{no}}}']) if op == 0 else None) for k, op, ts, no, *_ in entries]
+        parts = [[], [], []]
+        for e in entries:
+            random.choice(parts).append(e)
+
+        def patch(rows):
+            if not rows:
+                return None
+            cols = list(zip(*rows))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.string()]
+            t = pa.table([pa.chunked_array([pa.array(c, x)]) for c, x in zip(cols, kinds)], names=["id", "op", "ts", "entry_no", "vec_values", "metadata"])
+            return leaf(t, ["id"], np.zeros(0, np.int64)).to_pylist()[0]["patch"]
+
+        cases.append((*map(patch, parts), patch(entries)))
+    df = spark.createDataFrame(cases, ", ".join(f"{n} {PATCH_TYPE}" for n in ("a", "b", "c", "all")))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    out = df.select(compose(compose(a, b), c).alias("x"), compose(a, compose(b, c)).alias("y"), compose(compose(c, a), b).alias("z"), "all").collect()
+    assert all(r.x == r["all"] and r.y == r["all"] and r.z == r["all"] for r in out)
