@@ -12,7 +12,7 @@ from ..runtime import table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coll_name, id, valid_from, valid_to: the periods of every vector's metadata."""
-    return attribute_history(table(spark, sf_dir, "vector_versions")).select("coll_name", "id", "valid_from", "valid_to")
+    return attribute_history(table(spark, sf_dir, "vector_versions"), contents=False).select("coll_name", "id", "valid_from", "valid_to")
 
 
 def p1_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,28 @@ _LIVE = """
     FROM wal_entries WHERE op IN (0, 1) AND id IS NOT NULL AND coll_name IS NOT NULL AND ts IS NOT NULL)
   WHERE rn = 1 AND op = 0"""
 
+_STATES = """
+  WITH ok AS (
+    SELECT coll_name, id, obs_id, coalesce(vec_version, -9223372036854775808) AS v,
+      CASE WHEN abs(vec_ts) < 100000000000 THEN vec_ts * 1000000000 WHEN abs(vec_ts) < 100000000000000 THEN vec_ts * 1000000
+        WHEN abs(vec_ts) < 100000000000000000 THEN vec_ts * 1000 ELSE vec_ts END AS t,
+      CASE WHEN trim(metadata) <> 'null' THEN metadata END AS m
+    FROM vector_versions WHERE coll_name IS NOT NULL AND id IS NOT NULL AND vec_ts IS NOT NULL),
+  good AS (SELECT * FROM ok WHERE m IS NULL OR CASE WHEN json_valid(m) THEN json_type(m) = 'OBJECT' ELSE FALSE END),
+  flat AS (
+    SELECT g.obs_id, list_sort(list({'path': j.fullkey, 'kind': CASE WHEN j.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN 'NUMBER' ELSE j.type END,
+      'x': CASE WHEN j.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN (j.atom::DOUBLE)::VARCHAR WHEN j.type IN ('OBJECT', 'ARRAY') THEN '' ELSE j.atom::VARCHAR END}))::VARCHAR AS state
+    FROM good g, json_tree(g.m) j WHERE g.m IS NOT NULL GROUP BY g.obs_id),
+  best AS (
+    SELECT coll_name, id, t, state FROM good LEFT JOIN flat USING (obs_id)
+    QUALIFY row_number() OVER (PARTITION BY coll_name, id, t ORDER BY v DESC, m IS NOT NULL DESC, state DESC) = 1),
+  differ AS (
+    SELECT *, lag(state) OVER (PARTITION BY coll_name, id ORDER BY t) AS before FROM best WHERE state IS NOT NULL)
+  SELECT coll_name, id, t AS valid_from, coalesce(lead(t) OVER (PARTITION BY coll_name, id ORDER BY t), -1) AS valid_to
+  FROM differ WHERE before IS NULL OR before <> state"""
+
 SQL = {
+    "p1_found": _STATES,
     "p5_found": f"SELECT coll_name, id, entry_no FROM ({_LIVE})",
     "p5_state": f"""
 WITH live AS ({_LIVE}),
