@@ -25,7 +25,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import release
 from .ann import LIST_ROWS, MAX_LISTS, REGION_ROWS, _kmeans, _nearest, _regions, fit_models
 from .vectors import matrix, unit
 
@@ -168,7 +167,6 @@ def link_forest(keyed: DataFrame, least: float) -> DataFrame:
     """
     spark = keyed.sparkSession
     models = spark.sparkContext.broadcast(fit_models(keyed, fit_lists))
-    release(spark)
 
     def place(batches):
         for b in batches:

@@ -54,3 +54,20 @@ def test_copies_fill_up(spark):
     assert got[:4] == [(1, "v0000"), (1, "v0004"), (1, "v0001"), (1, "v0002")]
     assert sorted(i for q, i in got if q == 2) == ["v0000", "v0001", "v0002", "v0003", "v0004"]
     assert varied_subsets(usable.limit(0), requests).count() == 0
+
+
+def test_large_subsets_end(spark):
+    """Half of the vectors are asked for: more than half of a part."""
+    x = np.random.default_rng(4).normal(size=(7000, 8))
+    usable = usable_vectors(spark.createDataFrame(rows_of(x), VECTORS), spark.createDataFrame([("c", 8)], CONFIG))
+    requests = spark.createDataFrame([(1, "c", 3500, None), (2, "c", 10, None)], REQUESTS)
+    got = varied_subsets(usable, requests).collect()
+    picks = {q: [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.request_id == q] for q in (1, 2)}
+    assert len(set(picks[1])) == 3500 and picks[2] == picks[1][:10]
+
+
+def test_values_that_only_copies_hold(spark):
+    rows = [(*r[:3], '{"kind": "%s"}' % k, *r[4:]) for r, k in zip(rows_of([[1.0, 2.0]] * 3 + [[2.0, -1.0]]), "aaba")]
+    usable = usable_vectors(spark.createDataFrame(rows, VECTORS), spark.createDataFrame([("c", 2)], CONFIG))
+    got = varied_subsets(usable, spark.createDataFrame([(1, "c", 3, "kind")], REQUESTS)).collect()
+    assert {r.id for r in got} == {"v0000", "v0002", "v0003"}
