@@ -11,6 +11,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from ..functions.filters import parse
+from ..operators.graph import entry_point
 from ..sources.catalog import Catalog, NotFound, with_graph_params, with_metric, with_quantization
 
 GRAPH_NODES, MOST_GRAPH_NODES = 100, 10_000
@@ -41,7 +42,7 @@ def handle(catalog: Catalog, method: str, url: str, body: bytes = b"") -> tuple[
             raise Refused(405, "method not allowed")
         if len(parts) == 2 and parts[0] == "collections":
             if method == "GET":
-                return 200, catalog.get(parts[1]).stats()
+                return 200, catalog.get(parts[1]).stats(links=query.get("links") == ["true"])
             if method == "DELETE":
                 catalog.delete(parts[1])
                 return 200, {"status": "deleted"}
@@ -108,7 +109,8 @@ def _operate(catalog: Catalog, name: str, what: str, method: str, query: dict, b
         if not r.get("vector"):
             raise Refused(400, "a vector is needed")
         try:
-            found = catalog.search(name, r["vector"], r.get("k") or 10, parse(r.get("filter"))).collect()
+            c = catalog.get(name)
+            found = c.search(r["vector"], r.get("k") or 10, parse(r.get("filter")), ef=int(r.get("ef") or 0), rerank=bool(r.get("rerank"))).collect()
         except (ValueError, NotFound) as e:
             raise Refused(400, str(e)) from e
         return 200, {"results": [{"id": x.id, "score": x.score, "metadata": json.loads(x.metadata or "{}")} for x in found]}
@@ -117,7 +119,10 @@ def _operate(catalog: Catalog, name: str, what: str, method: str, query: dict, b
             raise Refused(405, "method not allowed")
         asked = (query.get("max_nodes") or [""])[0]
         n = min(int(asked), MOST_GRAPH_NODES) if asked.isdigit() and int(asked) > 0 else GRAPH_NODES
-        return 200, {"nodes": [{"id": r.id, "connections": list(r.links)} for r in catalog.get(name).graph(n).collect()]}
+        c = catalog.get(name)
+        top = entry_point(c.current()).first()
+        nodes = [{"id": r.id, "vector_id": r.id, "layer": r.layer, "max_layer": r.layer, "connections": list(r.links)} for r in c.graph(n).collect()]
+        return 200, {"nodes": nodes, "total_nodes": top["size"], "max_layer": top.max_layer or 0, "entry_point": top.entry_point or ""}
     raise Refused(404, "not found")
 
 

@@ -146,3 +146,35 @@ def pq_decode(df: DataFrame, codes: str, trained: DataFrame, out: str = "decoded
     joined = df.crossJoin(F.broadcast(books))  # one row of 256 vectors
     pieces = F.zip_with(F.col(codes), F.col("_books"), lambda c, b: F.get(b, c.cast("int")))
     return joined.withColumn(out, F.flatten(pieces)).drop("_books")
+
+
+def pq_tables(query: list[float], books: list[np.ndarray]) -> list[list[float]]:
+    """The squared distances of a query's parts to the words of each subspace."""
+    q, width = np.asarray(query, float), -(-len(query) // max(1, len(books)))
+    parts = [q[i * width : (i + 1) * width] for i in range(len(books))]
+    return [((c[:, : len(p)] - p) ** 2).sum(1).tolist() for p, c in zip(parts, books)]
+
+
+def pq_distance(codes: Column, query: list[float], trained: DataFrame) -> Column:
+    """The squared distance of a query and codes, by table look-ups: a sum of one entry per subspace. Untrained: the greatest float."""
+    books = _books(trained)
+    if not books:
+        return F.lit(float(np.finfo(np.float32).max))
+    tables = F.array(*[F.array(*map(F.lit, t)) for t in pq_tables(query, books)])
+    entries = F.zip_with(codes, tables, lambda c, t: F.get(t, c.cast("int")))
+    return F.aggregate(entries, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
+def code_distance(df: DataFrame, vector: str, query: list[float], kind: str) -> tuple[Column, DataFrame]:
+    """The distance of a query and the codes of the quantiser `kind`, and the rows with what it needs."""
+    q = F.array(*map(F.lit, map(float, query)))
+    v = F.col(vector)
+    if kind == "binary":
+        return binary_distance(binary_encode(v), binary_encode(q)), df
+    if kind == "sq8":
+        model = sq8_model(sq8_train(df, vector))  # one row
+        df = df.crossJoin(F.broadcast(model))
+        decoded = sq8_decode(sq8_encode(v, F.col("lows"), F.col("highs"), F.col("scales")), F.col("lows"), F.col("scales"))
+        return F.aggregate(F.zip_with(decoded, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), df
+    book = pq_train(df, "id", vector, max(1, len(query) // 8))
+    return pq_distance(F.col("_pq"), query, book), pq_encode(df, vector, book, "_pq")

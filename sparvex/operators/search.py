@@ -142,6 +142,61 @@ def knn_batch(
     return top.select("query_id", "rank", "id", M.score(metric, F.col("dist")).alias("score"))
 
 
+#: Corpus rows and queries of one task of `knn_join`.
+GROUP_ROWS = 4096
+
+
+def knn_join(df: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vector: str = "values", nprobe: int = 8) -> DataFrame:
+    """query_id, rank, id, score: the k nearest other rows of every row.
+
+    Rows lie in inverted lists of about GROUP_ROWS, and every row looks into the `nprobe` nearest lists, so the result is exact up
+    to nprobe x GROUP_ROWS rows and work grows with the rows beyond that. A large list is cut into parts, its
+    visitors into slices; a task holds one part and one slice. Only the lists' centres and counts reach the driver.
+    """
+    metric = M.parse_metric(metric)
+    rows = df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    lists = max(1, (n := rows.count()) // GROUP_ROWS)
+    kind, v = df.schema[id_col].dataType, F.col(vector).cast("array<double>")
+    if lists == 1:
+        ivf, sizes = None, {0: n}
+        base = rows.select(F.col(id_col).alias("id"), v.alias("v"), F.lit(0).alias("list_id"))
+    else:
+        ivf = InvertedLists(rows, lists, metric, id_col, vector)
+        base = ivf.table.select(F.col(id_col).alias("id"), v.alias("v"), "list_id")
+        sizes = {r.list_id: r["count"] for r in base.groupBy("list_id").count().collect()}
+    most = max(1, -(-max(sizes.values(), default=1) // GROUP_ROWS))
+    parts = F.create_map(*[x for i, n in sizes.items() for x in (F.lit(i), F.lit(max(1, -(-n // GROUP_ROWS))))])
+    count = F.coalesce(parts[F.col("list_id")], F.lit(1))
+    near = _probe_column(ivf.centres, metric, nprobe, "v") if ivf else F.array(F.lit(0))
+    asked = base.select("id", "v", F.explode(near).alias("list_id"))
+    asked = asked.where(F.col("list_id").isin(list(sizes)))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(most * min(lists, nprobe))))
+    held = base.withColumn("part", F.pmod(F.xxhash64("id"), count).cast("int"))
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(most * min(lists, nprobe) - 1).cast("bigint"))))
+    group = ["list_id", "part", "slice"]
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("dist", T.DoubleType())])
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": a["id"][:0], "id": b["id"][:0], "dist": np.zeros(0)})]
+        b = b.sort_values("id", kind="stable")
+        for dim in sorted({len(v) for v in b["v"]} - {0}):
+            p, q = b[b["v"].map(len) == dim], a[a["v"].map(len) == dim]
+            x, names, own = np.stack(p["v"].to_numpy()) if len(p) else None, p["id"].to_numpy(), q["id"].to_numpy()
+            for i in range(0, len(q), 512):
+                dist = _pair_distance(metric, np.stack(q["v"].to_numpy()[i : i + 512]), x)
+                dist[own[i : i + 512, None] == names[None]] = np.inf
+                n = min(k, len(names))
+                last = np.partition(dist, n - 1, axis=1)[:, n - 1 : n]
+                r, c = np.nonzero((dist <= last) & np.isfinite(dist))
+                out.append(pd.DataFrame({"query_id": own[i + r], "id": names[c], "dist": dist[r, c]}))
+        return pd.concat(out)
+
+    found = asked.groupBy(*group).cogroup(held.groupBy(*group)).applyInPandas(search, schema)
+    w = Window.partitionBy("query_id").orderBy("dist", "id")
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", "id", M.score(metric, F.col("dist")).alias("score"))
+
+
 def recall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id, recall: the share of true ids that were predicted; 0 without predictions."""
     t = truth.select("query_id", "id").distinct()
@@ -149,6 +204,18 @@ def recall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return t.join(p, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
+def nearest_lists(centres: np.ndarray, metric: str, query: list[float], nprobe: int) -> list[int]:
+    q = np.asarray(query, float)
+    if metric == "cosine":
+        q = q / max(np.linalg.norm(q), 1e-12)
+    gap = -centres @ q if metric == "dot" else (centres**2).sum(1) / 2 - centres @ q
+    return np.argsort(gap, kind="stable")[:nprobe].tolist()
+
+
+def _probe_column(centres: np.ndarray, metric: str, nprobe: int, query: str) -> Column:
+    return F.pandas_udf(lambda v: pd.Series([nearest_lists(centres, metric, e, nprobe) for e in v]), "array<int>")(query)
+
+
 class InvertedLists:
     """IVF: rows are assigned to the nearest of `lists` centres; a search reads only the nearest lists.
 
@@ -164,7 +231,8 @@ class InvertedLists:
         n = rows.count()
         share = 1.0 if n <= self.SAMPLE else self.SAMPLE / n
         sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
-        x = np.array([[float(e) for e in r[0]] for r in sample.orderBy(id_col).select(vector).collect()])
+        t = sample.orderBy(id_col).select(F.col(vector).cast("array<double>").alias("v")).toArrow()["v"].combine_chunks()
+        x = t.flatten().to_numpy().reshape(len(t), -1) if len(t) else np.zeros((0, 1))
         if self.metric == "cosine" and len(x):
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
@@ -194,16 +262,22 @@ class InvertedLists:
         self.table = self.table.sparkSession.read.parquet(path)
 
     def probe(self, query: list[float], nprobe: int) -> list[int]:
-        q = np.asarray(query, float)
-        if self.metric == "cosine":
-            q = q / max(np.linalg.norm(q), 1e-12)
-        gap = -self.centres @ q if self.metric == "dot" else (self.centres**2).sum(1) / 2 - self.centres @ q
-        return np.argsort(gap, kind="stable")[:nprobe].tolist()
+        return nearest_lists(self.centres, self.metric, query, nprobe)
 
     def search(self, query: list[float], k: int = 10, nprobe: int = 12, **options) -> DataFrame:
         lists = self.table.where(F.col("list_id").isin(self.probe(query, nprobe)))
         return knn(lists, query, k, self.metric, self.id_col, self.vector, **options)
 
+    def search_batch(self, queries: DataFrame, k: int = 10, nprobe: int = 12) -> DataFrame:
+        """query_id, rank, id, score for stated queries (query_id, values): each looks into its nearest lists only."""
+        q = queries.where(F.col("values").isNotNull()).select("query_id", F.col("values").cast("array<double>").alias("q"))
+        q = q.withColumn("list_id", F.explode(_probe_column(self.centres, self.metric, nprobe, "q")))
+        pairs = self.table.select("list_id", F.col(self.id_col).alias("id"), F.col(self.vector).alias("v")).join(q, "list_id")
+        pairs = pairs.select("query_id", "id", M.distance(self.metric)(F.col("v"), F.col("q")).alias("dist"))
+        w = Window.partitionBy("query_id").orderBy("dist", "id")
+        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return top.select("query_id", "rank", "id", M.score(self.metric, F.col("dist")).alias("score"))
+
     def search_adaptive(self, query: list[float], k: int = 10, spread: float = 0.5, nprobe: int = 2) -> DataFrame:
         """Doubles the number of lists until the k scores lie close together or all lists are read."""
         while True:

@@ -6,15 +6,12 @@ vector by 1 + vec_id % 3, so that the metrics disagree on the order.
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters as P
 from ..functions import metrics as M
 from ..functions import quantize as Z
-from ..operators import graph as G
 from ..operators import search as S
 from ..runtime import table
 
@@ -40,6 +37,12 @@ def first_vector(spark: SparkSession, sf: str) -> list[float]:
     return [float(x) for x in row[0]]
 
 
+def stated(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated queries: query_id, values of every id divisible by STEP."""
+    e = table(spark, sf, "embeddings").where(F.col("vec_id") % STEP == 0)
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("values"))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6) + 0.0)
 
@@ -137,6 +140,7 @@ FILTERS: dict[str, tuple[dict, str]] = {
     "filter_missing": ({"nothing": {"$ne": 1}, "lang": {"$eq": None}}, "lang IS NULL"),
     "filter_unknown_operator": ({"lang": {"$like": "en"}}, "FALSE"),
     "filter_empty": ({}, "TRUE"),
+    "filter_null": (None, "TRUE"),
 }
 
 
@@ -152,6 +156,18 @@ def _add_filter(name: str, f: dict, sql: str) -> None:
 for _name, (_f, _sql) in FILTERS.items():
     _add_filter(_name, _f, _sql)
 
+
+
+def _builders(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree made by the builders instead of parsed."""
+    v = view(spark, sf)
+    tree = P.all_of(P.where("label", "$gte", 3), P.any_of(P.equal("lang", "en"), P.negate(P.where("n_chars", "$lt", 1500))))
+    return v.where(P.compile_typed(tree, v.schema)).select("vec_id", "label", "lang")
+
+
+QUERIES["filter_builders"] = _builders
+SQL["filter_builders"] = f"SELECT vec_id, label, lang FROM ({_V}) WHERE label >= 3 AND (lang = 'en' OR n_chars >= 1500 OR n_chars IS NULL)"
+
 _TYPE = "json_type(j, '$.{f}')"
 _NUMBER = "json_type(j, '$.{f}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
 JSON_FILTERS: dict[str, tuple[dict, str]] = {
@@ -216,45 +232,6 @@ SQL["knn_rerank"] = f"""
 WITH near AS (SELECT vec_id FROM ({_S}) ORDER BY {_dist("hamming", "v", _Q)}, vec_id LIMIT {3 * K})
 SELECT vec_id, round(list_inner_product(v, {_Q}), 6) + 0.0 AS score FROM ({_S}) WHERE vec_id IN (SELECT vec_id FROM near)"""
 
-# The change log of `events`: the user is the key, "error" a delete, (ts, event_id) the order.
-_LOG = "SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events"
-
-
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    last = F.max_by(F.struct("event_id", "value", "event_type"), F.struct("ts", "event_id")).alias("r")
-    versions = F.count(F.lit(1)).alias("version")
-    return e.groupBy("user_id").agg(last, versions).select("user_id", "r.event_id", "r.value", "r.event_type", "version")
-
-
-
-
-QUERIES["upsert_latest"] = lambda spark, sf: _events(spark, sf).select("user_id", "event_id", "value")
-SQL["upsert_latest"] = f"SELECT user_id, event_id, value FROM ({_LOG}) WHERE rn = 1"
-QUERIES["delete_tombstone"] = lambda spark, sf: _events(spark, sf).where(F.col("event_type") != "purchase").select("user_id", "event_id", "value")
-SQL["delete_tombstone"] = f"SELECT user_id, event_id, value FROM ({_LOG}) WHERE rn = 1 AND event_type <> 'purchase'"
-QUERIES["update_version"] = lambda spark, sf: _events(spark, sf).select("user_id", "version")
-SQL["update_version"] = "SELECT user_id, count(*) AS version FROM events GROUP BY user_id"
-QUERIES["compact_count"] = lambda spark, sf: _events(spark, sf).where(F.col("event_type") != "purchase").agg(F.count(F.lit(1)).alias("live"))
-SQL["compact_count"] = f"SELECT count(*) AS live FROM ({_LOG}) WHERE rn = 1 AND event_type <> 'purchase'"
-QUERIES["get_by_id"] = lambda spark, sf: table(spark, sf, "embeddings").where(F.col("vec_id") == 7).select("vec_id", "label")
-SQL["get_by_id"] = "SELECT vec_id, label FROM embeddings WHERE vec_id = 7"
-
-
-def _stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Number and dimensions of the current vectors of every collection."""
-    v = table(spark, sf, "vectors").groupBy("coll_name").agg(F.count_distinct("id").alias("count"))
-    c = table(spark, sf, "coll_config")
-    names = F.create_map(*[x for name, i in M.METRICS.items() for x in (F.lit(i), F.lit(name))])
-    return c.join(v, "coll_name", "left").select("coll_name", F.col("dim").alias("dimension"), names[F.col("metric")].alias("metric"), F.coalesce("count", F.lit(0)).alias("count"))
-
-
-QUERIES["collection_stats"] = _stats
-_names = " ".join(f"WHEN {i} THEN '{n}'" for n, i in M.METRICS.items())
-SQL["collection_stats"] = f"""
-SELECT c.coll_name, c.dim AS dimension, CASE c.metric {_names} END AS metric, coalesce(v.n, 0) AS "count"
-FROM coll_config c LEFT JOIN (SELECT coll_name, count(DISTINCT id) AS n FROM vectors GROUP BY coll_name) v USING (coll_name)"""
-
 # Quantisers
 QUERIES["sq8_train"] = lambda spark, sf: Z.sq8_train(scaled(spark, sf), "v").select("pos", *(F.round(c, 6).alias(c) for c in ("low", "high", "scale")))
 _TRAIN = f"""SELECT pos, min(x) AS low, max(x) AS high, CASE WHEN max(x) > min(x) THEN 255.0::DOUBLE / (max(x) - min(x)) ELSE 1.0 END AS scale
@@ -308,17 +285,23 @@ SELECT vec_id, round({_dist("cosine", "v", _Q)}, 6) + 0.0 AS score FROM near ORD
 
 
 def _recall_sq8(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall of the search over decoded 8-bit codes, of the first vector."""
+    """Recall of the search over decoded 8-bit codes, of every stated query."""
     v = _sq8(spark, sf).select("vec_id", "v", Z.sq8_decode(F.col("codes"), F.col("lows"), F.col("scales")).alias("w"))
-    ids = lambda c: S.knn(v, first_vector(spark, sf), K, "euclidean", "vec_id", c).select(F.lit(0).alias("query_id"), F.col("vec_id").alias("id"))
-    return S.recall(ids("w"), ids("v"))
+    q = stated(spark, sf)
+    return S.recall(*(S.knn_batch(v, q, K, "euclidean", "vec_id", c) for c in ("w", "v")))
 
 
 QUERIES["recall_sq8"] = _recall_sq8
+
+
+def _top_sql(source: str) -> str:
+    return f"""SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_dist("euclidean", "v", "w")}, vec_id) AS rank
+  FROM ({source}) CROSS JOIN (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings WHERE vec_id % {STEP} = 0)) WHERE rank <= {K}"""
+
+
 SQL["recall_sq8"] = f"""
-WITH p AS (SELECT vec_id FROM ({_DECODED}) ORDER BY {_dist("euclidean", "v", _Q)}, vec_id LIMIT {K}),
-t AS (SELECT vec_id FROM ({_S}) ORDER BY {_dist("euclidean", "v", _Q)}, vec_id LIMIT {K})
-SELECT 0 AS query_id, count(p.vec_id)::DOUBLE / count(*) AS recall FROM t LEFT JOIN p USING (vec_id)"""
+WITH p AS ({_top_sql(_DECODED)}), t AS ({_top_sql(_S)})
+SELECT query_id, count(p.vec_id)::DOUBLE / count(*) AS recall FROM t LEFT JOIN p USING (query_id, vec_id) GROUP BY query_id"""
 
 
 def _pq(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,24 +322,3 @@ def _pq_error(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["pq_error"] = _pq_error
-QUERIES["ivf_knn"] = lambda spark, sf: S.InvertedLists(scaled(spark, sf), 32, "cosine", "vec_id", "v").search(first_vector(spark, sf), K)
-QUERIES["knn_adaptive"] = lambda spark, sf: S.InvertedLists(scaled(spark, sf), 32, "euclidean", "vec_id", "v").search_adaptive(first_vector(spark, sf), K)
-QUERIES["rng_graph"] = lambda spark, sf: G.neighbour_graph(scaled(spark, sf), 16, 32, "cosine", "vec_id", "v")
-QUERIES["graph_stats"] = lambda spark, sf: G.graph_stats(QUERIES["rng_graph"](spark, sf))
-QUERIES["graph_data"] = lambda spark, sf: G.graph_data(QUERIES["rng_graph"](spark, sf))
-
-
-def _export(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as exported lines and read again."""
-    from ..sources.store import export_lines, import_lines
-
-    v = table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_json(F.struct("label")).alias("metadata"),
-        F.lit(None).cast("struct<indices:array<bigint>,values:array<float>>").alias("sparse"), F.lit(1).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("ts_ns"),
-    )
-    return import_lines(export_lines(v, {"name": "v"})).select("id", F.get_json_object("metadata", "$.label").cast("int").alias("label"), F.size("values").alias("dim"))
-
-
-QUERIES["export_import"] = _export
-SQL["export_import"] = "SELECT vec_id::VARCHAR AS id, label, len(embedding)::INTEGER AS dim FROM embeddings"
-

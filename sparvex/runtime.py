@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,14 +36,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more, such as those before a `cut`.
-
-    They go when the driver collects its garbage, which on a large driver may be long after the disks are full.
-    """
-    for _ in range(2):  # the first round frees Python's references, which reach the driver's JVM with a delay
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)

@@ -12,15 +12,14 @@ from ..sources.store import Store
 def apply_changes(stream: DataFrame, store: Store, checkpoint: str, order: str = "seq", **trigger) -> StreamingQuery:
     """Append each micro-batch of changes (op, id, values, metadata, ..., `order`) to the store's log.
 
-    A batch is appended once: its number is noted in the store's folder, so a batch that is run again after a
-    failure is skipped. The result is that of the same changes applied in one batch.
+    The change of the greatest `order` wins, in whatever micro-batch it comes, so the result is that of the same changes
+    applied in one batch. A batch is appended once: the query's id and the batch's number are part of the store's
+    manifest, so a batch that is run again after a failure is skipped, and a new query begins anew.
     """
 
     def write(df: DataFrame, epoch: int) -> None:
-        done = int(store.files.read(f"{store.path}/epoch") or -1)
-        if epoch > done:
-            store.append(df.withColumn("row", F.col(order).cast("bigint")))
-            store.files.write(f"{store.path}/epoch", str(epoch))
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store.append(df, order=order, epoch=(query, epoch))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

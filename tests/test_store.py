@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparvex.api.server import handle
 from sparvex.sources.catalog import Catalog, Exists, NotFound, with_graph_params, with_metric, with_quantization
-from sparvex.sources.store import Store, deserialize, export_lines, import_lines, serialize
+from sparvex.sources.store import Conflict, Store, deserialize, export_lines, import_lines, serialize
 from sparvex.streaming.upserts import apply_changes, windowed_counts
 
 ROW = "id string, values array<float>, metadata string"
@@ -35,7 +35,7 @@ def test_codec_and_lines(spark):
     s = "id string, values array<float>, metadata string, sparse struct<indices:array<bigint>,values:array<float>>, version bigint, ts_ns bigint"
     df = spark.createDataFrame([("a", [1.0], '{"k": [1, "x"]}', ([3], [0.5]), 4, 9), ("b", [2.0], None, None, 1, 1)], s)
     lines = export_lines(df, {"name": "n", "metric": 1})
-    assert json.loads(lines.first().value)["name"] == "n"
+    assert {"name": "n", "metric": 1} in [json.loads(r.value) for r in lines.collect()]
     back = {r.id: r for r in import_lines(lines.union(spark.createDataFrame([("broken {",)], "value string"))).collect()}
     assert set(back) == {"a", "b"} and json.loads(back["a"].metadata) == {"k": [1, "x"]} and back["a"].sparse.indices == [3] and back["a"].version == 4
 
@@ -115,3 +115,59 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.id: r["values"] for r in store.current().collect()} == {k: v for k, v in last.items() if v is not None}
     w = windowed_counts(spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "no") if (tmp_path / "no").mkdir() else str(tmp_path / "no")), "t", ["k"])
     assert w.isStreaming and w.columns == ["window_start", "k", "n"]
+
+
+def test_writers_that_die_or_meet(spark, tmp_path):
+    path = tmp_path / "s"
+    s = Store(spark, str(path))
+    rows = lambda *ids: spark.createDataFrame([(i, [1.0], None) for i in ids], ROW)
+    s.put(rows("a", "b"))
+    number, m = s._state()
+    (path / f"manifest-{number + 1:012d}.json").write_text('{"snapsh')  # a writer died while it wrote
+    assert Store(spark, str(path)).size() == 2
+    s.put(rows("c"))
+    assert s.size() == 3 and s.number == number + 2
+    other = Store(spark, str(path))
+    number, m = other._state()
+    s.put(rows("d"))
+    with pytest.raises(Conflict):  # the other started from the state before
+        other._commit(number, m)
+    assert sorted(r.id for r in s.current().collect()) == ["a", "b", "c", "d"]
+    before = set(p.name for p in path.iterdir() if p.is_dir())
+    with pytest.raises(ValueError):
+        s.append(rows("e"), check=lambda written: (_ for _ in ()).throw(ValueError(written.count())))
+    assert set(p.name for p in path.iterdir() if p.is_dir()) == before and s.size() == 4
+    with pytest.raises(ValueError):
+        s.append(rows("f").withColumn("seq", F.lit(1)), order="seq")
+
+
+def test_late_changes_lose(spark, tmp_path):
+    """A change of a later batch that is older by its own order, before and after compaction; a new query begins anew."""
+    kind = "seq bigint, op int, id string, values array<float>, metadata string"
+    s = Store(spark, str(tmp_path / "s"))
+    for rows in ([(10, 0, "a", [10.0], None), (11, 1, "b", None, None)], [(5, 0, "a", [5.0], None), (6, 0, "b", [6.0], None)]):
+        s.append(spark.createDataFrame(rows, kind), order="seq")
+        s.compact()
+    assert [(r.id, list(r["values"])) for r in s.current().collect()] == [("a", [10.0])]
+    for n, folder in enumerate(("one", "two")):  # the same source with another checkpoint: another query
+        spark.createDataFrame([(20 + n, 0, folder, [float(n)], None)], kind).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        apply_changes(stream, s, str(tmp_path / folder)).awaitTermination()
+    assert {r.id for r in s.current().collect()} == {"a", "one", "two"}
+    again = s.append(spark.createDataFrame([(99, 0, "z", [1.0], None)], kind), order="seq", epoch=("q", 3))
+    assert again == 1 and s.append(spark.createDataFrame([(100, 0, "y", [1.0], None)], kind), order="seq", epoch=("q", 3)) == 0
+
+
+def test_searches_by_quantisers(spark, tmp_path):
+    db = Catalog(spark, str(tmp_path / "db"))
+    rows = [{"id": f"v{i:02d}", "values": [float((i * 7 + j * 3) % 11) - 5 for j in range(8)], "metadata": {"n": i}} for i in range(40)]
+    for kind in ("sq8", "pq", "binary"):
+        c = db.create(kind, 8, with_metric("l2"), with_quantization(kind))
+        c.insert(rows)
+        exact = [r.id for r in c.search(rows[3]["values"], 5).collect()]
+        assert [r.id for r in c.search(rows[3]["values"], 5, ef=40, quantized=True).collect()] == exact
+        some = c.search(rows[3]["values"], 5, {"n": {"$lt": 20}}, quantized=True).collect()
+        assert [r.id for r in some] == [r.id for r in c.search(rows[3]["values"], 5, {"n": {"$lt": 20}}).collect()]
+    assert c.stats(links=True)["index"]["total_connections"] > 0 and c.updated > c.created
+    with pytest.raises(ValueError):
+        db.create("../x", 2)
