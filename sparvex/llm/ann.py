@@ -2,23 +2,27 @@
 
 Plan
 1. Copies (also scaled ones) become one direction with its few smallest ids (`vectors.directions`).
-2. Fit per collection on a bounded sample (`SAMPLE_ROWS`, chosen by id hash): lists (spherical k-means, about
+2. Fit per collection on a bounded sample (`sample_rows`, chosen by id hash): lists (spherical k-means, about
    `LIST_ROWS` vectors each, at most `MAX_LISTS`), inside each list about one cell per `CELL_ROWS` vectors, and a
-   two-dimensions-per-block, sixteen-words-per-block code book for the residuals from the cells' means. The code
+   code book of sixteen words for each block of `WIDTH` dimensions for the residuals from the cells' means. The code
    book and the codes minimise the anisotropic loss: the part of the residual error that is parallel to the data
    point, which distorts large inner products, weighs `eta` times the rest.
-   Nearby lists form regions of about `REGION_ROWS` vectors; a region is the unit of work, so a collection or a
-   similarity group with a third of all rows is spread over many tasks. A list with more rows is split into parts.
-3. Every direction goes to its list's region and visits the other regions that hold lists it probes.
+   Nearby lists form regions of about `REGION_ROWS` vectors. A region is the unit of work, and its size does not grow with the
+   collection; a list with more rows is split into parts, and a region with many visitors into slices of them.
+3. Every direction goes to its list's region and visits other regions that hold lists it probes: `VISITS` regions at most,
+   its own included, so a vector is sent at most so often and looks at a bounded number of others.
    Probes: all lists with a cell whose centre has a cosine of `DENSE` or more, so that a large dense group is
    searched whole, and the nearest ones, more of them for vectors in no dense place (`Budget`), within `MAX_PROBES`.
 4. In a region, its members are coded; tables of sixteen partial scores per block, combined to one table per byte
-   of two four-bit codes, are summed over the codes of a list for a batch of queries. The best of each list, then
-   of the region (`Budget`), are scored again exactly (float64).
+   of two four-bit codes, are summed over the codes of a list for a batch of queries. The best of the region (`Budget`) are
+   scored again exactly (float64).
 5. The regions' results of a query are merged; ids of copies are put in; ties go to the smaller id.
 
 All rows are indexed and all rows are queries. Null, wrong, zero and NaN values never come this far
 (`vectors.usable_vectors`); an empty table gives an empty result; a collection of one vector has no neighbours.
+Up to about VISITS x REGION_ROWS vectors a vector in no dense place is compared with nearly all of its collection, by codes; beyond
+that with the nearest regions only, and its recall falls with the collection's size. So does that of a dense group that
+fills more than VISITS regions.
 """
 
 from __future__ import annotations
@@ -34,25 +38,29 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from .vectors import directions, matrix, unit
 
-SAMPLE_ROWS = 8_192
-LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 2048
-REGION_ROWS = 24_576
+SAMPLE_ROWS, MOST_SAMPLE = 8_192, 131_072
+LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 16_384
+REGION_ROWS, VISITS = 12_288, 4
 DENSE, MAX_PROBES, EXACT = 0.8, 256, 12
 THRESHOLD = 0.45
+#: Dimensions per block of the code book.
+WIDTH = 1
 _BATCH, _BLOCK = 128, 512
 
 
+def sample_rows(rows: int) -> int:
+    """How many of a collection's rows the index is fitted on: eight per list, within bounds."""
+    return min(max(SAMPLE_ROWS, 8 * rows // LIST_ROWS), MOST_SAMPLE)
+
+
 @dataclass(frozen=True)
 class Budget:
     """How much a search looks at: the nearest lists that are probed at least, the share of the lists that a vector in
-    no dense place probes (two times the least at least; with 0, the least), whether a vector in a dense place
-    probes all lists of it, the candidates kept per list, and those scored exactly per region."""
+    no dense place probes (two times the least at least), and the candidates scored exactly per region."""
 
     least: int = 8
     share: float = 0.15
-    dense: bool = True
-    per_list: int = 48
-    rerank: int = 80
+    rerank: int = 64
 
 
 @dataclass
@@ -63,17 +71,18 @@ class Model:
     cells: np.ndarray  # (cells,): the list of each cell, ascending
     means: np.ndarray  # (cells, dim)
     regions: np.ndarray  # (lists,)
-    parts: np.ndarray  # (regions,): into how many tasks the members of a region are split
-    words: np.ndarray  # (blocks, 16, 2)
+    parts: np.ndarray  # (regions,): into how many parts the members of a region are split
+    slices: np.ndarray  # (regions,): into how many slices those who ask in a region are split
+    words: np.ndarray  # (blocks, 16, WIDTH)
     eta: float
 
 
 def _blocks(x: np.ndarray) -> np.ndarray:
-    """Pairs of dimensions, padded to an even number of pairs."""
-    pad = -x.shape[1] % 4
+    """Blocks of WIDTH dimensions, padded to an even number of blocks."""
+    pad = -x.shape[1] % (2 * WIDTH)
     if pad:
         x = np.concatenate([x, np.zeros((len(x), pad), x.dtype)], 1)
-    return np.ascontiguousarray(x.reshape(len(x), -1, 2))
+    return np.ascontiguousarray(x.reshape(len(x), -1, WIDTH))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -112,11 +121,16 @@ def _regions(c: np.ndarray, rows: np.ndarray, most: float) -> np.ndarray:
     return out
 
 
-def _residuals(m: Model, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Residuals from the cells' means, brought to unit size per dimension, and their sizes before."""
-    r = x - m.means[cells]
-    size = np.maximum(np.linalg.norm(r, axis=1) / np.sqrt(x.shape[1]), 1e-6).astype(np.float32)
-    return _blocks(r / size[:, None]), size
+def _sizes(m: Model, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The size per dimension of the residuals of each cell; one for cells without rows."""
+    square = ((x - m.means[cells]) ** 2).mean(1)
+    n = np.bincount(cells, minlength=len(m.means))
+    return np.where(n > 0, np.maximum(np.sqrt(np.bincount(cells, square, len(m.means)) / np.maximum(n, 1)), 1e-6), 1.0).astype(np.float32)
+
+
+def _residuals(m: Model, x: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Residuals from the cells' means, brought to unit size per dimension."""
+    return _blocks((x - m.means[cells]) / sizes[cells, None])
 
 
 def _directions(x: np.ndarray) -> np.ndarray:
@@ -156,7 +170,7 @@ def _choose(r: np.ndarray, u: np.ndarray, words: np.ndarray, eta: float, passes:
 
 def _fit_words(r: np.ndarray, u: np.ndarray, eta: float, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     n, blocks = len(r), r.shape[1]
-    words = r[rng.integers(0, n, 16)].transpose(1, 0, 2).copy() + rng.normal(0, 1e-4, (blocks, 16, 2)).astype(r.dtype)
+    words = r[rng.integers(0, n, 16)].transpose(1, 0, 2).copy() + rng.normal(0, 1e-4, (blocks, 16, WIDTH)).astype(r.dtype)
     for i in range(rounds):
         codes = _choose(r, u, words, eta, passes=int(i > 2))
         error = r - words[np.arange(blocks), codes]
@@ -164,15 +178,15 @@ def _fit_words(r: np.ndarray, u: np.ndarray, eta: float, rng: np.random.Generato
         for b in range(blocks):
             rest = along - np.einsum("nd,nd->n", error[:, b], u[:, b])
             c, ub, rb = codes[:, b], u[:, b], r[:, b]
-            left = np.zeros((16, 2, 2))
-            right = np.zeros((16, 2))
+            left = np.zeros((16, WIDTH, WIDTH))
+            right = np.zeros((16, WIDTH))
             pull = (eta - 1) * (rest + np.einsum("nd,nd->n", rb, ub))
-            for p in range(2):
+            for p in range(WIDTH):
                 right[:, p] = np.bincount(c, rb[:, p] + pull * ub[:, p], 16)
-                for q in range(2):
+                for q in range(WIDTH):
                     left[:, p, q] = np.bincount(c, (eta - 1) * ub[:, p] * ub[:, q] + (p == q), 16)
             used = np.bincount(c, minlength=16) > 0
-            words[b][used] = np.linalg.solve(left[used] + 1e-6 * np.eye(2), right[used][:, :, None])[:, :, 0]
+            words[b][used] = np.linalg.solve(left[used] + 1e-6 * np.eye(WIDTH), right[used][:, :, None])[:, :, 0]
             error[:, b] = rb - words[b][c]
             along = rest + np.einsum("nd,nd->n", error[:, b], ub)
     return words.astype(np.float32)
@@ -198,46 +212,70 @@ def fit(x: np.ndarray, rows: int, seed: int = 0) -> Model:
         else:
             c = (mine.mean(0) if len(mine) else centres[one])[None]
         means.append(c)
-    m = Model(centres, np.array(cells), np.concatenate(means).astype(np.float32), np.zeros(0), np.zeros(0), np.zeros(0), 1.0)
-    estimate = count * (rows / max(len(x), 1))
-    m.regions = _regions(centres, estimate, REGION_ROWS)
-    m.parts = np.maximum(np.ceil(np.bincount(m.regions, estimate) / REGION_ROWS - 0.25), 1).astype(int)
+    one = np.ones(1, int)
+    m = Model(centres, np.array(cells), np.concatenate(means).astype(np.float32), np.zeros(k, int), one, one, np.zeros(0), 1.0)
+    times = rows / max(len(x), 1)
+    m.regions = _regions(centres, count * times, REGION_ROWS)
+    members = np.bincount(m.regions, count * times)
+    m.parts = np.maximum(np.ceil(members / REGION_ROWS - 0.25), 1).astype(int)
+    asking = np.zeros(len(m.parts))
+    for i in range(0, len(x), 1024):
+        asking += visits(m, *probes(m, x[i : i + 1024]))[0].sum(0)
+    m.slices = np.maximum(np.ceil(asking * times / (VISITS * REGION_ROWS) - 0.25), 1).astype(int)
     cell = cell_of(m, x, near)
     m.eta = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     some = rng.permutation(len(x))[:4096]
-    m.words = _fit_words(_residuals(m, x[some], cell[some])[0], _blocks(x[some]), m.eta, rng)
+    m.words = _fit_words(_residuals(m, x[some], cell[some], _sizes(m, x, cell)), _blocks(x[some]), m.eta, rng)
     return m
 
 
 def encode(m: Model, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two four-bit codes per byte (rows, blocks / 2), and the size of each row's residual."""
-    codes, sizes = [np.zeros((0, len(m.words)), np.uint8)], [np.zeros(0, np.float32)]
+    """Two four-bit codes per byte (rows, blocks / 2), and the size of each cell's residuals."""
+    codes, sizes = [np.zeros((0, len(m.words)), np.uint8)], _sizes(m, x, cells)
     for i in range(0, len(x), 4096):
-        r, size = _residuals(m, x[i : i + 4096], cells[i : i + 4096])
-        codes.append(_choose(r, _blocks(x[i : i + 4096]), m.words, m.eta, 2))
-        sizes.append(size)
+        codes.append(_choose(_residuals(m, x[i : i + 4096], cells[i : i + 4096], sizes), _blocks(x[i : i + 4096]), m.words, m.eta, 2))
     c = np.concatenate(codes)
-    return c[:, 0::2] | (c[:, 1::2] << 4), np.concatenate(sizes)
+    return c[:, 0::2] | (c[:, 1::2] << 4), sizes
 
 
-def probes(m: Model, x: np.ndarray, budget: Budget = Budget()) -> tuple[np.ndarray, np.ndarray]:
-    """(own list, mask of the lists each row probes)."""
+def probes(m: Model, x: np.ndarray, budget: Budget = Budget()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own list, mask of the lists each row probes, similarities with the lists' centres)."""
     s = x @ m.centres.T
     own, k = np.argmax(s, 1), s.shape[1]
     few = min(k, budget.least)
-    many = min(k, max(2 * budget.least, int(np.ceil(budget.share * k))) if budget.share else budget.least, MAX_PROBES)
-    inside = np.maximum.reduceat(x @ _directions(m.means).T, np.searchsorted(m.cells, np.arange(k)), axis=1)
+    many = min(k, max(2 * budget.least, int(np.ceil(budget.share * k))), MAX_PROBES)
+    close = s >= -np.partition(-s, MAX_PROBES - 1, axis=1)[:, MAX_PROBES - 1 : MAX_PROBES] if k > MAX_PROBES else np.ones(s.shape, bool)
+    ways, ends = _directions(m.means), np.searchsorted(m.cells, np.arange(k + 1))
+    inside = np.full(s.shape, -1, np.float32)
+    for one in range(k):
+        rows = np.flatnonzero(close[:, one])
+        if len(rows):
+            inside[rows, one] = (x[rows] @ ways[ends[one] : ends[one + 1]].T).max(1)
     dense = inside.max(1) >= DENSE
-    near = -np.sort(-s, 1)
+    near = -np.partition(-s, sorted({few - 1, many - 1}), axis=1)
     mask = s >= np.where(dense, near[:, few - 1], near[:, many - 1])[:, None]
-    if budget.dense:
-        mask |= dense[:, None] & (inside >= DENSE)
+    mask |= dense[:, None] & (inside >= DENSE)
     if k > MAX_PROBES:
         best = np.maximum(s, inside)
         best[~mask] = -2
         mask &= best >= -np.partition(-best, MAX_PROBES - 1, axis=1)[:, MAX_PROBES - 1 : MAX_PROBES]
     mask[np.arange(len(x)), own] = True
-    return own, mask
+    return own, mask, np.maximum(s, inside)
+
+
+def visits(m: Model, own: np.ndarray, mask: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of the regions each row asks in, `mask` without the lists of others): VISITS regions at most, the own one and
+    those of the nearest probed lists."""
+    n = len(m.parts)
+    best = np.full((len(own), n), -2, np.float32)
+    for one in range(n):
+        lists = np.flatnonzero(m.regions == one)
+        best[:, one] = np.where(mask[:, lists], near[:, lists], -2).max(1, initial=-2)
+    best[np.arange(len(own)), m.regions[own]] = 3
+    asks = best > -2
+    if n > VISITS:
+        asks &= best >= -np.partition(-best, VISITS - 1, axis=1)[:, VISITS - 1 : VISITS]
+    return asks, mask & asks[:, m.regions]
 
 
 def _tables(m: Model, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,57 +298,81 @@ def _scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     for j in range(1, len(tables)):
         np.take(tables[j], codes[j], axis=0, out=part, mode="clip")
         total += part
-    return total.astype(np.float32)
+    return total
 
 
 def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_self: np.ndarray, q_probe: np.ndarray, budget: Budget = Budget()):
     """The best EXACT vectors of a region for each query: indices (-1: none) and cosines.
 
-    x: the region's unit vectors (float64) with their cells, codes and residual sizes; q: the queries (float64), q_self: a
-    query's own index in x or -1; q_probe: (queries, lists) mask.
+    x: the region's unit vectors (float64) with their cells and codes; sizes: the residual size of each cell; q: the queries
+    (float64), q_self: a query's own index in x or -1; q_probe: (queries, lists) mask.
+
+    Scores stay sums of 16-bit table entries. A query's worst kept score is turned into the least sum that a row of each cell
+    must have, so rows that can't come in cost a comparison; the others are collected until `rerank` of them are chosen.
     """
-    lists = m.cells[cells]
-    order = np.argsort(lists, kind="stable")
-    used, first = np.unique(lists[order], return_index=True)
+    order = np.argsort(cells, kind="stable")
+    lists = m.cells[cells[order]]
+    used, first = np.unique(lists, return_index=True)
     ends = np.append(first[1:], len(order))
-    blocks = [(one, order[i : min(i + _BLOCK, b)]) for one, a, b in zip(used, first, ends) for i in range(a, b, _BLOCK)]
-    blocks = [(one, rows, np.ascontiguousarray(codes[rows].T).astype(np.intp)) for one, rows in blocks]
-    here, local = np.unique(cells, return_inverse=True)
+    blocks = []
+    for k, (a, b) in enumerate(zip(first, ends)):
+        for i in range(a, b, _BLOCK):
+            rows = order[i : min(i + _BLOCK, b)]
+            here, starts = np.unique(cells[rows], return_index=True)
+            blocks.append((k, rows, np.ascontiguousarray(codes[rows].T).astype(np.intp), here, np.diff(np.append(starts, len(rows)))))
     x32, q32 = x.astype(np.float32), q.astype(np.float32)
     found, score = np.full((len(q), EXACT), -1, np.int64), np.full((len(q), EXACT), -np.inf)
-    own = np.argmax(q32 @ m.centres[used].T, 1) if len(used) else np.zeros(len(q), int)
-    turn = np.lexsort((own, q_probe[:, used].sum(1) // 16))
-    low_bits = np.uint32(_BLOCK - 1)
+    if not len(used) or not len(q):
+        return found, score
+    near = q32 @ m.centres[used].T
+    turn = np.lexsort((np.argmax(near, 1), q_probe[:, used].sum(1) // 16))
+    room = 2 * budget.rerank + _BLOCK
     for start in range(0, len(q), _BATCH):
         batch = turn[start : start + _BATCH]
+        n = len(batch)
         tables, step, base = _tables(m, q32[batch])
-        # Scores are in about [-1, 1]. Brought to [1, 2), their bits sort like them and the low ones can hold the row.
-        step, base = 0.4 * step, 0.4 * base
-        offset = 0.4 * (m.means[here] @ q32[batch].T) + np.float32(1.5)
-        best, index = np.full((len(batch), budget.rerank), -np.inf, np.float32), np.full((len(batch), budget.rerank), -1, np.int64)
-        for one, rows, block_codes in blocks:
-            cols = np.flatnonzero(q_probe[batch, one])
-            if not len(cols):
+        best, index = np.full((n, room), -np.inf, np.float32), np.full((n, room), -1, np.int64)
+        count, worst = np.zeros(n, np.int64), np.full(n, -np.inf, np.float32)
+        probed = q_probe[np.ix_(batch, used)]
+        ask = probed.sum(0)
+        # the lists that are nearest to the batch come first, so that the worst kept score rises early
+        by_list = np.argsort(np.where(ask > 0, -(near[batch] * probed).sum(0) / np.maximum(ask, 1), np.inf), kind="stable")
+        place = np.empty(len(used), int)
+        place[by_list] = np.arange(len(used))
+
+        def choose(which: np.ndarray) -> None:
+            """Keep the best `rerank` candidates of some queries."""
+            keep = np.argpartition(-best[which], budget.rerank - 1, axis=1)[:, : budget.rerank]
+            best[which, : budget.rerank] = np.take_along_axis(best[which], keep, 1)
+            index[which, : budget.rerank] = np.take_along_axis(index[which], keep, 1)
+            best[which, budget.rerank :] = -np.inf
+            count[which] = np.minimum(count[which], budget.rerank)
+            worst[which] = best[which, : budget.rerank].min(1)
+
+        for k, rows, block, here, runs in sorted((b for b in blocks if ask[b[0]]), key=lambda b: place[b[0]]):
+            # all queries of the batch: to copy the tables of some would cost more than to scan for all
+            s = _scan(tables, block)
+            offset = m.means[here] @ q32[batch].T
+            least = ((worst - offset) / sizes[here, None] - base) / step
+            least = np.clip(least, 0, 65535).astype(np.uint16)
+            r, c = np.nonzero(s >= np.repeat(least, runs, axis=0))
+            if not len(r):
                 continue
-            if 3 * len(cols) >= len(batch):
-                cols = np.arange(len(batch))  # cheaper than to copy the tables of a few
-            part = tables if len(cols) == len(batch) else tables[:, :, cols]
-            s = _scan(part, block_codes)
-            s *= step[cols]
-            s += base[cols]
-            s *= sizes[rows, None]
-            s += offset[local[rows]] if len(cols) == len(batch) else offset[local[rows]][:, cols]
-            key = np.ascontiguousarray(s.T).view(np.uint32)
-            key &= ~low_bits
-            key |= np.arange(len(rows), dtype=np.uint32)
-            if len(rows) > budget.per_list:
-                key = np.partition(key, len(rows) - budget.per_list, axis=1)[:, -budget.per_list:]
-            s = np.concatenate([best[cols], (key & ~low_bits).view(np.float32)], 1)
-            i = np.concatenate([index[cols], rows[key & low_bits]], 1)
-            keep = np.argpartition(-s, budget.rerank - 1, axis=1)[:, :budget.rerank]
-            best[cols], index[cols] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+            cell = np.repeat(np.arange(len(here)), runs)[r]
+            value = (s[r, c] * step[c] + base[c]) * sizes[here[cell]] + offset[cell, c]
+            by_query = np.argsort(c, kind="stable")
+            r, c, value = rows[r[by_query]], c[by_query], value[by_query]
+            added = np.bincount(c, minlength=n)
+            slot = count[c] + np.arange(len(c)) - (np.cumsum(added) - added)[c]
+            best[c, slot], index[c, slot] = value, r
+            count += added
+            full = np.flatnonzero((count >= np.where(np.isinf(worst), 1, 2) * budget.rerank) & (added > 0))
+            if len(full):
+                choose(full)
+        choose(np.arange(n))
+        index = index[:, : budget.rerank]
         bad = (index < 0) | (index == q_self[batch, None])
-        exact = np.einsum("nd,nrd->nr", q32[batch], x32[index])
+        exact = np.matmul(x32[index], q32[batch][:, :, None])[:, :, 0]
         exact[bad] = -np.inf
         keep = np.argpartition(-exact, EXACT - 1, axis=1)[:, :EXACT]
         index = np.where(np.take_along_axis(bad, keep, 1), -1, np.take_along_axis(index, keep, 1))
@@ -327,7 +389,7 @@ def fit_models(keyed: DataFrame, fitted: Callable = fit) -> dict:
 
     keyed = keyed.where(F.col("ids").isNotNull())
     counts = {r.coll_name: r["count"] for r in keyed.groupBy("coll_name").count().collect()}
-    share = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, 0.97 * SAMPLE_ROWS / n))]) if counts else F.lit(None)
+    share = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, 0.97 * sample_rows(n) / n))]) if counts else F.lit(None)
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         name = key[0].as_py()
@@ -342,104 +404,105 @@ def fit_models(keyed: DataFrame, fitted: Callable = fit) -> dict:
     return {r.coll_name: pickle.loads(r.model) for r in rows}
 
 
-_PLACED = "coll_name string, region int, member boolean, id string, dir_key binary, vec_values array<float>, ids array<string>"
+_PLACED = "coll_name string, region int, member boolean, asks boolean, dir_key binary, vec_values array<float>, ids array<string>"
+
+
+def units(m: Model, home: np.ndarray, asks: np.ndarray, lot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, unit, member, asks) of all rows to send. A unit is one part and one slice of a region.
+
+    home: each row's region; asks: mask of the regions it asks in; lot: a number of each row that chooses part and slice.
+    """
+    first = np.cumsum(m.parts * m.slices) - m.parts * m.slices
+    row, region = np.nonzero(asks)
+    own_part, own_slice = lot[row] % m.parts[region], lot[row] // 64 % m.slices[region]
+    out = []
+    for part in range(m.parts.max()):
+        there = part < m.parts[region]
+        member = there & (region == home[row]) & (own_part == part)
+        for piece in range(m.slices.max()):
+            here = there & (piece < m.slices[region]) & ((piece == own_slice) | member)
+            i = np.flatnonzero(here)
+            out.append((row[i], first[region[i]] + part * m.slices[region[i]] + piece, member[i], own_slice[i] == piece))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _place(models: dict[str, Model], batch: pa.RecordBatch, budget: Budget):
     """Rows of the regions: each direction at home, and as a visitor where it probes."""
-    names = batch.column("coll_name").to_pylist()
-    # the part of a region is drawn from a seed that depends on the rows alone, so a task that runs again places them alike
-    rng = np.random.default_rng(int(matrix(batch.column("vec_values").slice(0, 1)).view(np.uint64).sum() % 2**63) if batch.num_rows else 0)
+    names = np.array(batch.column("coll_name").to_pylist())
     for name in sorted(set(names)):
         m = models.get(name)
         if m is None:
             continue
-        part = batch.take(pa.array(np.flatnonzero(np.array([n == name for n in names]))))
-        own, mask = probes(m, unit(matrix(part.column("vec_values"))).astype(np.float32), budget)
-        visits = np.zeros((len(own), len(m.parts)), bool)
-        row, one = np.nonzero(mask)
-        visits[row, m.regions[one]] = True
-        first = np.cumsum(m.parts) - m.parts
-        home = m.regions[own]
-        home = first[home] + (rng.integers(0, 2**31, len(own)) % m.parts[home] if m.parts.max() > 1 else 0)
-        r, region = np.nonzero(np.repeat(visits, m.parts, axis=1))
-        member = home[r] == region
-        take, at_home = pa.array(r), pa.array(r, mask=~member)  # visitors bring no ids
+        part = batch.take(pa.array(np.flatnonzero(names == name)))
+        values = matrix(part.column("vec_values"), np.float32)
+        own, mask, near = probes(m, unit(values.astype(np.float64)).astype(np.float32), budget)
+        # drawn from the row alone, so a task that runs again places it alike
+        lot = (np.ascontiguousarray(values).view(np.uint32).astype(np.uint64).sum(1) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.int64)
+        row, unit_, member, asks = units(m, m.regions[own], visits(m, own, mask, near)[0], lot)
+        take, at_home = pa.array(row), pa.array(row, mask=~member)  # visitors bring no ids
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([name] * len(r)),
-                pa.array(region.astype(np.int32)),
+                pa.array([name] * len(row), pa.string()),
+                pa.array(unit_.astype(np.int32)),
                 pa.array(member),
-                part.column("id").take(take),
+                pa.array(asks),
                 part.column("dir_key").take(take),
                 part.column("vec_values").take(take),
                 part.column("ids").take(at_home),
             ],
-            names=["coll_name", "region", "member", "id", "dir_key", "vec_values", "ids"],
+            names=["coll_name", "region", "member", "asks", "dir_key", "vec_values", "ids"],
         )
 
 
 _FOUND = "coll_name string, dir_key binary, near array<struct<far:int,id:string>>"
 
 
-def _find(m: Model, t: pa.Table, budget: Budget) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the rows of a region: which are its members, each row's number among them (-1: a visitor), and for each
-    row the nearest members and their cosines."""
-    member = t["member"].to_numpy(zero_copy_only=False)
-    q = unit(matrix(t["vec_values"]))
-    home = np.flatnonzero(member)
-    q32 = q.astype(np.float32)
-    own, mask = probes(m, q32, budget)
-    q_self = np.full(len(q), -1)
-    q_self[home] = np.arange(len(home))
-    if not len(home):
-        return home, q_self, np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf)
-    cells = cell_of(m, q32[home], own[home])
-    codes, sizes = encode(m, q32[home], cells)
-    found, score = search_region(m, q[home], cells, codes, sizes, q, q_self, mask, budget)
-    return home, q_self, found, np.round(score, 6)
-
-
-def _near_table(name: str, t: pa.Table, home: np.ndarray, q_self: np.ndarray, found: np.ndarray, score: np.ndarray, keep: int) -> pa.Table:
+def _find(m: Model, t: pa.Table, budget: Budget) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of a unit: which are its members, which ask, each asking row's number among the members (-1: a
+    visitor), and for each the nearest members and their cosines."""
+    x = unit(matrix(t["vec_values"]))
+    home = np.flatnonzero(t["member"].to_numpy(zero_copy_only=False))
+    asks = np.flatnonzero(t["asks"].to_numpy(zero_copy_only=False))
+    number = np.full(len(x), -1)
+    number[home] = np.arange(len(home))
+    if not len(home) or not len(asks):
+        return home, asks, number[asks], np.full((len(asks), 1), -1), np.full((len(asks), 1), -np.inf)
+    x32 = x[home].astype(np.float32)
+    own = _nearest(x32, m.centres)
+    cells = cell_of(m, x32, own)
+    codes, sizes = encode(m, x32, cells)
+    q = x[asks]
+    mask = np.concatenate([visits(m, *probes(m, q[i : i + 2048].astype(np.float32), budget))[1] for i in range(0, len(q), 2048)])
+    found, score = search_region(m, x[home], cells, codes, sizes, q, number[asks], mask, budget)
+    return home, asks, number[asks], found, np.round(score, 6)
+
+
+def _near_table(name: str, t: pa.Table, home: np.ndarray, asks: np.ndarray, q_self: np.ndarray, found: np.ndarray, score: np.ndarray, keep: int) -> pa.Table:
     ids = t["ids"].combine_chunks().take(pa.array(home))
     # a member also has its own copies; more than `keep` directions can't be needed but for ties
-    score = np.concatenate([np.ones((len(t), 1)), score], 1)
+    score = np.concatenate([np.ones((len(asks), 1)), score], 1)
     found = np.concatenate([q_self[:, None], found], 1)
     good = (found >= 0) & (score >= score[:, min(keep, score.shape[1] - 1)][:, None])
     row, _ = np.nonzero(good)
     lists = ids.take(pa.array(found[good]))
     lens = np.asarray(lists.value_lengths())
     far = np.repeat(np.round(-1e6 * score[good]).astype(np.int32), lens)
-    per_row = np.bincount(row, lens, len(t)).astype(np.int64)
+    per_row = np.bincount(row, lens, len(asks)).astype(np.int64)
     near = pa.StructArray.from_arrays([pa.array(far), lists.flatten()], names=["far", "id"])
     offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
-    return pa.table({"coll_name": pa.array([name] * len(t)), "dir_key": t["dir_key"], "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
+    return pa.table({"coll_name": pa.array([name] * len(asks), pa.string()), "dir_key": t["dir_key"].take(pa.array(asks)), "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
 
 
-def search_regions(
-    keyed: DataFrame, finish: Callable, schema: str, columns: tuple[str, ...] = ("id", "dir_key", "ids"), budget: Budget = Budget()
-) -> DataFrame:
-    """Search all regions; `finish(name, table, home, q_self, found, score)` makes a region's rows of `schema`.
-
-    `keyed`: the rows of `vectors.directions`; it is read several times, so pass a checkpointed table. Only `columns`
-    of a direction, besides its values, travel to the regions.
-    """
-    spark = keyed.sparkSession
-    models = spark.sparkContext.broadcast(fit_models(keyed))
+def placed_directions(keyed: DataFrame, models, budget: Budget = Budget()) -> DataFrame:
+    """The rows of all units. `models`: the broadcast models."""
 
     def place(batches):
         for b in batches:
-            yield from _place(models.value, b, budget)
-
-    def search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        name, t = key[0].as_py(), t.combine_chunks()
-        return finish(name, t, *_find(models.value[name], t, budget))
+            for i in range(0, b.num_rows, 2048):
+                yield from _place(models.value, b.slice(i, 2048), budget)
 
     heads = keyed.where(F.col("ids").isNotNull())
-    kinds = {"id": "string", "dir_key": "binary", "ids": "array<string>"}
-    sent = (F.col(c) if c in columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items())
-    placed = heads.select("coll_name", "vec_values", *sent).mapInArrow(place, _PLACED)
-    return placed.groupBy("coll_name", "region").applyInArrow(search, schema)
+    return heads.select("coll_name", "vec_values", "dir_key", "ids").mapInArrow(place, _PLACED)
 
 
 def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
@@ -448,10 +511,14 @@ def nearest_directions(keyed: DataFrame, k: int = 5) -> DataFrame:
     direction, else at most `keep` ids of a direction are listed.
     """
 
-    def finish(name, t, home, q_self, found, score):
-        return _near_table(name, t, home, q_self, found, score, k + 1)
+    budget = Budget()
+    models = keyed.sparkSession.sparkContext.broadcast(fit_models(keyed))
+
+    def search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        name, t = key[0].as_py(), t.combine_chunks()
+        return _near_table(name, t, *_find(models.value[name], t, budget), k + 1)
 
-    found = search_regions(keyed, finish, _FOUND, ("dir_key", "ids"))
+    found = placed_directions(keyed, models, budget).groupBy("coll_name", "region").applyInArrow(search, _FOUND)
     merged = found.groupBy("coll_name", "dir_key").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.select("coll_name", "dir_key", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
 

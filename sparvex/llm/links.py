@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import LIST_ROWS, MAX_LISTS, REGION_ROWS, _kmeans, _nearest, _regions, fit_models
+from .ann import LIST_ROWS, _kmeans, _nearest, _regions, fit_models
 from .vectors import matrix, unit
 
 INNER, PIVOTS, ROWS = 0.8, 16, 2048
+MAX_LISTS, REGION_ROWS = 1024, 24_576
 #: Rounding of float32 similarities, and what the bounds are slackened by.
 NEAR, SLACK = 1e-5, 1e-4
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from .ann import similar_pairs
+from .ann import most_similar, similar_pairs
 from .clusters import clusters, similarity_groups
 from .leakage import leaked_items
 from .personal import masked_texts, personal_information
@@ -38,6 +38,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(_usable(spark, sf_dir))
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coll_name, id, rank, near_id, similarity: the 5 most similar vectors of every vector."""
+    return most_similar(_usable(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: the token ids of every text by byte_bpe_50k."""
     return encode(table(spark, sf_dir, "documents"))
@@ -59,5 +64,5 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_masked": p8_masked, "p7_found": p7_found, "p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_ids": p6_ids}
+QUERIES = {"p8_found": p8_found, "p8_masked": p8_masked, "p7_found": p7_found, "p2_subsets": p2_subsets, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_nearest": p4_nearest, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}

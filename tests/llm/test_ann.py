@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sparvex.llm.ann import encode, fit, cell_of, most_similar, probes, search_region, similar_pairs
+from sparvex.llm.ann import cell_of, encode, fit, most_similar, probes, search_region, similar_pairs
 from sparvex.llm.vectors import unit, usable_vectors
 
 VECTORS = "coll_name string, id string, vec_values array<float>, metadata string, vec_version bigint, vec_ts bigint, exported_at timestamp, dir_key string"
@@ -40,12 +40,12 @@ def test_recall_against_brute_force(spark, groups):
 def test_score_aware_codes_keep_the_parallel_error_small(groups):
     x = unit(groups).astype(np.float32)
     m = fit(x, len(x))
-    own, mask = probes(m, x)
+    own, mask, _ = probes(m, x)
     cells = cell_of(m, x, own)
     codes, sizes = encode(m, x, cells)
     words = np.empty((len(x), codes.shape[1] * 2), np.uint8)
     words[:, 0::2], words[:, 1::2] = codes & 15, codes >> 4
-    error = x - m.means[cells] - m.words[np.arange(words.shape[1]), words].reshape(len(x), -1)[:, :16] * sizes[:, None]
+    error = x - m.means[cells] - m.words[np.arange(words.shape[1]), words].reshape(len(x), -1)[:, :16] * sizes[cells, None]
     along, all_ = (error * x).sum(1), (error**2).sum(1)
     assert (along**2).mean() < all_.mean() / 16
     found, score = search_region(m, x.astype(float), cells, codes, sizes, x.astype(float), np.arange(len(x)), mask)
@@ -91,14 +91,62 @@ def test_large_lists_are_split(groups, monkeypatch):
     })
     placed = pa.Table.from_batches(list(ann._place({"c": m, "x": m}, batch, ann.Budget())))
     regions = np.array(placed["region"])
-    assert len(np.unique(regions)) == m.parts.sum() and placed["member"].to_pylist().count(True) == len(x)
+    assert len(np.unique(regions)) == (m.parts * m.slices).sum() and m.slices.max() > 1
+    member, asks = (np.array(placed[c].to_pylist()) for c in ("member", "asks"))
+    assert (member & asks).sum() == len(x) and np.bincount(regions).max() <= 6 * 100
     near = {i: [] for i in ids}
     for r in np.unique(regions):
         t = placed.take(pa.array(np.flatnonzero(regions == r))).combine_chunks()
-        home, _, found, score = ann._find(m, t, ann.Budget())
-        names = t["id"].to_pylist()
-        for q, f, s in zip(names, found, score):
-            near[q] += [(-v, names[home[j]]) for j, v in zip(f, s) if j >= 0]
+        home, asking, _, found, score = ann._find(m, t, ann.Budget())
+        names = [k.decode() for k in t["dir_key"].to_pylist()]
+        for q, f, s in zip(asking.tolist(), found, score):
+            near[names[q]] += [(-v, names[home[j]]) for j, v in zip(f, s) if j >= 0]
     want, _ = brute(groups, 5)
     hits = sum(len({ids[j] for j in w} & {n for _, n in sorted(near[ids[i]])[:5]}) for i, w in enumerate(want))
     assert hits / (5 * len(want)) >= 0.9
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_sent_rows_do_not_grow_with_the_collection(spread):
+    """Sent copies and rows of a unit, from a model fitted for 1,000,000 vectors; the share of a sample stands for the rest."""
+    from sparvex.llm import ann
+
+    rng = np.random.default_rng(1)
+    rows, dim = 1_000_000, 32
+    draw = lambda n: rng.normal(size=(n, dim)) if spread else rng.normal(size=(200, dim))[rng.integers(0, 200, n)] + 0.4 * rng.normal(size=(n, dim))
+    x = unit(draw(ann.sample_rows(rows) // 4))
+    m = ann.fit(x, rows)
+    y = unit(draw(4000)).astype(np.float32)
+    own, mask, near = ann.probes(m, y)
+    row, unit_, member, asks = ann.units(m, m.regions[own], ann.visits(m, own, mask, near)[0], rng.integers(0, 2**40, len(y)))
+    assert np.bincount(row[asks], minlength=len(y)).max() <= ann.VISITS * m.parts.max()
+    assert len(row) / len(y) <= 4.5
+    assert np.bincount(unit_).mean() * rows / len(y) <= 50_000
+
+
+def test_recall_over_given_vectors(spark):
+    """Of all vectors, and of those without a near one, against brute force."""
+    from sparvex.llm.vectors import matrix
+    from sparvex.runtime import table
+
+    sf = "/root/testdata/sf0.01"
+    usable = usable_vectors(table(spark, sf, "vectors"), table(spark, sf, "coll_config")).select("coll_name", "id", "vec_values")
+    near = {}
+    for r in most_similar(usable, 5).collect():
+        near.setdefault((r.coll_name, r.id), set()).add(r.near_id)
+    got, groups = usable.toArrow().combine_chunks(), {}
+    for i, c in enumerate(got["coll_name"].to_pylist()):
+        groups.setdefault(c, []).append(i)
+    hits, alone = [], []
+    for c, rows in groups.items():
+        part = got.take(rows)
+        ids, x = np.array(part["id"].to_pylist()), unit(matrix(part["vec_values"]))
+        by_id = np.argsort(ids)
+        ids, x = ids[by_id], x[by_id]
+        s = np.round(x @ x.T, 6)
+        np.fill_diagonal(s, -2)
+        for i, best in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :5]):
+            hits.append(len(near[c, ids[i]] & set(ids[best])) / min(5, len(ids) - 1))
+            alone.append(s[i].max() < 0.85)
+    hits, alone = np.array(hits), np.array(alone)
+    assert hits.mean() >= 0.95 and hits[alone].mean() >= 0.9 and hits[~alone].mean() >= 0.99
