@@ -46,10 +46,16 @@ def lazy_greedy(x: np.ndarray, weight: np.ndarray, value: np.ndarray, size: int)
     """
     x = x.astype(np.float32)
 
+    whole = len(x) <= 1.25 * PART_ROWS  # an ordinary part: all similarities fit at once
+    table = None
+
     def cover(rows) -> np.ndarray:
+        if table is not None:
+            return table[rows]
         c = x[rows] @ x.T
         return np.minimum(np.maximum(c, 0, out=c), ENOUGH, out=c) / np.float32(ENOUGH)
 
+    table = cover(slice(None)) if whole else None
     bonus = VALUE_SHARE * weight.sum() / max(1, len(np.unique(value[value >= 0])))
     best, seen, chosen = np.zeros(len(x), np.float32), set(), []
     w = weight.astype(np.float32)
