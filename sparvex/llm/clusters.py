@@ -1,22 +1,24 @@
 """Hierarchical density clustering of vectors.
 
-1. Neighbour graph: every direction (copies are one point with a weight) is linked with its nearest ones
-   (`ann.nearest_directions`). An edge's length is the mutual reachability: the greatest of the distance
-   1 - cosine and the core distances of its ends, the distances to their (min_samples - 1)-th neighbour, where
-   each copy counts (`core_distances`).
-   With min_samples of 2 or less this is the plain distance.
-2. Minimum spanning forest: edges are first thinned inside regions (the forest of a union is the forest of
-   the union of forests), then merged by distributed Boruvka rounds: every component takes its shortest
-   edge (ties by ids, so there are no longer cycles than pairs), pointers are jumped, edges are relabelled
-   and parallel ones thinned. A round is written to the checkpoint folder. Once at most `LAST_EDGES` contracted
-   edges are left in all collections together, one task finishes the rounds; no larger part is ever gathered.
-3. Condensed hierarchy: the forest is cut at a ladder of distances; clusters of `min_size` or more are
-   followed from level to level, a cluster that splits in two or more ends there.
-4. Selection by stability (excess of mass) upwards over the levels, then downwards the chosen clusters.
-5. Each cluster gets its size, its most persistent members (those that stay in it up to the densest level),
-   and for each metadata field the most usual value.
-
-The flat groups of a least similarity (`similarity_groups`) do not use the neighbour graph but all links (`links`).
+1. Mutual-reachability graph: all links between directions (copies are one point with a weight) of a similarity of `least` or
+   more, their lengths the greatest of the distance 1 - cosine and the core distances of the ends (`links`).
+2. Minimum spanning forest: the regions of the vector space give their own minimum forests, edges are thinned in batches (the
+   forest of a union is the forest of the union of forests), then merged by distributed Boruvka rounds: every
+   component takes its shortest edge (ties by ids, so there are no longer cycles than pairs), pointers are jumped, edges
+   are relabelled and parallel ones thinned. A round is written to the checkpoint folder. The rounds over the last
+   `LAST_EDGES` contracted edges run in one task; the result is the same wherever they run.
+3. Condensed hierarchy: a component's edges are joined from short to long, equal ones at once. A component that reaches
+   `min_size` is a cluster; smaller ones that join it are members that come in at that length; where two clusters or more
+   meet they end and their union begins. The components of the forest go on side by side, so one pass serves all of
+   them; a component of more than `BAND_EDGES` edges is taken in bands of lengths, its parts being carried on.
+4. Stability of a cluster: the sum over its members of their density 1 / length minus the cluster's own at its end (the
+   density of the greatest distance for the last). From the leaves up, a cluster is chosen if it is as stable as the best
+   choice below it; of chosen ones the uppermost count.
+5. Each cluster gets its size, its most persistent members (those that come in at the greatest density), and for each
+   metadata field the most usual value.
+
+The flat groups of a least similarity (`similarity_groups`) are the components of the same forest, made with min_samples
+of 2, where mutual reachability is the plain distance: single linkage cut at that distance.
 
 Ties always go to the smaller id. Vectors in no cluster are noise and not listed. Unusable vectors never come
 this far; an empty table gives an empty result.
@@ -34,14 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .ann import nearest_directions
 from .links import link_forest
 from .vectors import directions
 
-NEIGHBOURS = 8
-#: Distances (1 - cosine) at which the hierarchy is cut, from loose to dense.
-LADDER = (0.3, 0.15, 0.1, 0.06, 0.035, 0.015)
-LAST_EDGES = 50_000
+#: The least similarity of linked vectors, and what bounds the density of vectors at one place.
+LEAST, SHORTEST = 0.85, 1e-6
+LAST_EDGES, BAND_EDGES = 50_000, 2_000_000
 
 
 def nodes(keyed: DataFrame) -> DataFrame:
@@ -49,43 +49,6 @@ def nodes(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("coll_name", "dir_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
 
 
-def core_distances(near: DataFrame, min_samples: int) -> DataFrame:
-    """coll_name, a, core: the distance to the (min_samples - 1)-th other vector, copies counted one by one: those of
-    the direction itself at 0, then each neighbour's. 2.0 if there are fewer. `near`: coll_name, a, weight, others."""
-    # each neighbour stands for one vector or more, so the first (min_samples - 1) are enough
-    first = near.select("coll_name", "a", "weight", F.slice("others", 1, min_samples - 1).alias("first"))
-    own = first.select("coll_name", "a", F.lit(-1_000_000).alias("far"), (F.col("weight") - 1).alias("n"))
-    weights = near.where(F.col("weight") > 1).select("coll_name", F.col("a").alias("id"), F.col("weight").alias("n"))
-    to = first.where(F.col("weight") < min_samples).select("coll_name", "a", F.inline("first")).join(weights, ["coll_name", "id"], "left")
-    steps = own.unionByName(to.select("coll_name", "a", "far", F.coalesce("n", F.lit(1)).alias("n")))
-    steps = steps.groupBy("coll_name", "a").agg(F.array_sort(F.collect_list(F.struct("far", "n"))).alias("steps"))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(2.0).alias("core"))
-
-    def step(so_far, one):
-        core = F.when((so_far["seen"] < min_samples - 1) & (so_far["seen"] + one["n"] >= min_samples - 1), 1 + one["far"] / 1e6)
-        return F.struct((so_far["seen"] + one["n"]).alias("seen"), F.coalesce(core, so_far["core"]).alias("core"))
-
-    return steps.select("coll_name", "a", F.aggregate("steps", start, step)["core"].alias("core"))
-
-
-def neighbour_graph(keyed: DataFrame, neighbours: int = NEIGHBOURS, min_samples: int = 2, longest: float = LADDER[0]) -> DataFrame:
-    """coll_name, a, b (a < b), length: edges of mutual reachability up to `longest`."""
-    near = nearest_directions(keyed, neighbours).join(nodes(keyed), ["coll_name", "dir_key"])
-    others = F.filter("near", lambda n: n["id"] != F.col("node"))
-    near = near.select("coll_name", F.col("node").alias("a"), "weight", others.alias("others"))
-    if min_samples > 2:
-        near = cut(near)
-    e = near.select("coll_name", "a", F.inline("others")).withColumn("length", F.round(1 + F.col("far") / 1e6, 6))
-    if min_samples > 2:
-        cores = core_distances(near, min_samples)
-        for end, core in (("a", "core_a"), ("id", "core_b")):
-            e = e.join(cores.select("coll_name", F.col("a").alias(end), F.col("core").alias(core)), ["coll_name", end])
-        e = e.withColumn("length", F.round(F.greatest("length", "core_a", "core_b"), 6))
-    b = F.col("id")
-    e = e.where(F.col("length") <= longest).select("coll_name", F.least("a", b).alias("a"), F.greatest("a", b).alias("b"), "length")
-    return e.groupBy("coll_name", "a", "b").agg(F.min("length").alias("length"))
-
-
 _EDGES = "coll_name string, a string, b string, length double"
 
 
@@ -189,10 +152,16 @@ def _smallest(labels: DataFrame) -> DataFrame:
     return labels.join(first, ["coll_name", "label"]).select("coll_name", "node", F.col("first").alias("label"))
 
 
-def similarity_groups(usable: DataFrame, least: float = 0.85) -> DataFrame:
+def density_forest(keyed: DataFrame, least: float = LEAST, min_samples: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(forest, labels) of the mutual-reachability graph: coll_name, a, b, length, and the component of each node with an edge."""
+    weights = nodes(keyed).select("coll_name", F.col("node").alias("id"), "weight")
+    return spanning_forest(thin(link_forest(keyed, weights, least, min_samples)))
+
+
+def similarity_groups(usable: DataFrame, least: float = LEAST) -> DataFrame:
     """coll_name, id, first_id: the flat cut of the hierarchy at similarity `least` (a group has two vectors or more)."""
     keyed = cut(directions(usable.select("coll_name", "id", "vec_values"), 1))
-    _, labels = spanning_forest(link_forest(keyed, least))
+    _, labels = density_forest(keyed, least)
     n = nodes(keyed).join(labels, ["coll_name", "node"], "left")
     n = n.select("coll_name", "dir_key", "weight", F.coalesce("label", "node").alias("first_id"))
     big = n.groupBy("coll_name", "first_id").agg(F.sum("weight").alias("size")).where(F.col("size") > 1)
@@ -200,77 +169,231 @@ def similarity_groups(usable: DataFrame, least: float = 0.85) -> DataFrame:
     return keyed.select("coll_name", "id", "dir_key").join(n, ["coll_name", "dir_key"]).select("coll_name", "id", "first_id")
 
 
-def _levels(n: DataFrame, forest: DataFrame, ladder: tuple[float, ...]) -> DataFrame:
-    """The nodes with their component at each distance of the ladder, l0 (loose) to the densest."""
-    last = len(ladder) - 1
-    n, inner = n.withColumn(f"l{len(ladder)}", F.col("node")), len(ladder)
-    for i in range(last, -1, -1):
-        low = ladder[i + 1] if i < last else -1.0
-        band = forest.where((F.col("length") <= ladder[i]) & (F.col("length") > low))
-        # the forest's nodes stand for the components they are in by now
-        now = n.select("coll_name", "node", F.col(f"l{inner}").alias("c"))
-        for end in ("a", "b"):
-            band = band.join(now.select("coll_name", F.col("node").alias(end), F.col("c").alias(f"_{end}")), ["coll_name", end])
-        band = band.select("coll_name", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "length")
-        _, labels = spanning_forest(band.where(F.col("a") != F.col("b")))
-        labels = labels.select("coll_name", F.col("node").alias(f"l{inner}"), F.col("label").alias("_l"))
-        n = cut(n.join(labels, ["coll_name", f"l{inner}"], "left").withColumn(f"l{i}", F.coalesce("_l", f"l{inner}")).drop("_l"))
-        inner = i
-    return n
-
-
-def clusters(
-    usable: DataFrame, min_size: int = 5, min_samples: int = 3, ladder: tuple[float, ...] = LADDER, exemplars: int = 3
-) -> tuple[DataFrame, DataFrame]:
+class Condensed:
+    """Components that grow from short edges to long ones, all of a task side by side.
+
+    A label is a part of a component: a node, or what an earlier band has joined. `cluster` is its open cluster, `sum`
+    the densities of the cluster's members, `best` the best choice below it, `pending` the labels that are in no cluster.
+    """
+
+    def __init__(self, names: list[tuple], size: list[int], cluster: list, total: list[float], best: list[float], fresh: bool, min_size: int):
+        self.names, self.size, self.cluster, self.sum, self.best, self.min_size = names, size, cluster, total, best, min_size
+        self.parent = list(range(len(names)))
+        self.pending: list[list[int]] = [[] if c is not None else [i] for i, c in enumerate(cluster)]
+        self.joins: list[tuple] = []  # label, cluster, density
+        self.ended: list[tuple] = []  # label of the component, cluster, parent, size, stability, best choice below
+        for i in range(len(names) if fresh else 0):
+            if size[i] >= min_size:  # copies
+                self._begin(i, SHORTEST, [i])
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = x = p[p[x]]
+        return x
+
+    def _enter(self, into: int, parts: list[int], density: float) -> None:
+        for c in parts:
+            self.joins += [(i, self.cluster[into], density) for i in self.pending[c]]
+            self.pending[c] = []
+
+    def _begin(self, at: int, length: float, small: list[int]) -> None:
+        """A cluster that holds the whole component `at`, its name the component's smallest label and its length."""
+        density = 1 / max(length, SHORTEST)
+        self.cluster[at] = f"{self.names[at][1]}\0{length:.6f}"
+        self.sum[at], self.best[at] = self.size[at] * density, 0.0
+        self._enter(at, small, density)
+
+    def end(self, c: int, density: float, parent: str | None) -> float:
+        """The cluster of component `c` ends; the value of the best choice in it."""
+        own = self.sum[c] - self.size[c] * density
+        self.ended.append((c, self.cluster[c], parent, self.size[c], own, self.best[c]))
+        return max(own, self.best[c])
+
+    def join(self, edges: list[tuple[int, int]], length: float) -> None:
+        """All edges of one length."""
+        density = 1 / max(length, SHORTEST)
+        before = sorted({self.find(x) for e in edges for x in e})
+        for a, b in edges:
+            a, b = self.find(a), self.find(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+        met: dict[int, list[int]] = {}
+        for c in before:
+            met.setdefault(self.find(c), []).append(c)
+        for root, parts in met.items():
+            if len(parts) < 2:
+                continue
+            big, small = [c for c in parts if self.cluster[c] is not None], [c for c in parts if self.cluster[c] is None]
+            size = sum(self.size[c] for c in parts)
+            if len(big) == 1:
+                one = big[0]
+                entered = sum(self.size[c] for c in small) * density
+                self.cluster[root], self.sum[root], self.best[root] = self.cluster[one], self.sum[one] + entered, self.best[one]
+                self.size[root] = size
+                self._enter(root, small, density)
+            elif big:
+                name = f"{self.names[root][1]}\0{length:.6f}"
+                below = sum(self.end(c, density, name) for c in big)
+                self.size[root], self.cluster[root] = size, name
+                self.sum[root], self.best[root] = size * density, below
+                self._enter(root, small, density)
+            else:
+                self.size[root] = size
+                if size >= self.min_size:
+                    self._begin(root, length, parts)
+                else:
+                    rest = [i for c in parts for i in self.pending[c]]
+                    for c in parts:
+                        self.pending[c] = []
+                    self.pending[root] = rest
+
+
+_ROWS = "kind string, coll_name string, comp string, x string, y string, n bigint, u double, v double"
+
+
+def _condense(t: pa.Table, fresh: bool, last: bool, min_size: int, root_density: float) -> pa.Table:
+    """One band of a partition with whole components. Rows of `t`: labels (x, open cluster y, size n, sum u, best v) with kind
+    "label", and edges (x, y, length u) with kind "edge". Gives joins (label x, cluster y, density u), ended clusters (x, parent
+    y, size n, stability u, best v), labels to go on (as in `t`) and moves (pending label x, its new label y)."""
+    kind = np.array(t["kind"].to_pylist(), object)
+    c = t.filter(pa.array(kind == "label")).sort_by([(k, "ascending") for k in ("coll_name", "comp", "x")]).to_pydict()
+    names = list(zip(c["coll_name"], c["x"]))
+    comps, number = c["comp"], {name: i for i, name in enumerate(names)}
+    at = Condensed(names, c["n"], c["y"], [x or 0.0 for x in c["u"]], [x or 0.0 for x in c["v"]], fresh, min_size)
+    e = t.filter(pa.array(kind == "edge")).sort_by([("u", "ascending")]).to_pydict()
+    same: list[tuple[int, int]] = []
+    lengths = e["u"]
+    for i, (coll, x, y) in enumerate(zip(e["coll_name"], e["x"], e["y"])):
+        same.append((number[coll, x], number[coll, y]))
+        if i + 1 == len(lengths) or lengths[i + 1] != lengths[i]:
+            at.join(same, lengths[i])
+            same = []
+    roots = [i for i in range(len(names)) if at.find(i) == i]
+    rows: list[tuple] = []
+    if last:
+        for r in roots:
+            if at.cluster[r] is not None:
+                at.end(r, root_density, None)
+    else:
+        rows += [("label", names[r][0], comps[r], names[r][1], at.cluster[r], at.size[r], at.sum[r], at.best[r]) for r in roots]
+        rows += [("move", names[i][0], comps[i], names[i][1], names[r][1], None, None, None) for r in roots for i in at.pending[r]]
+    rows += [("join", names[i][0], comps[i], names[i][1], cluster, None, density, None) for i, cluster, density in at.joins]
+    rows += [("cluster", names[r][0], comps[r], cluster, parent, n, own, best) for r, cluster, parent, n, own, best in at.ended]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.float64(), pa.float64()]
+    cols = list(zip(*rows)) if rows else [[]] * 8
+    return pa.table([pa.array(list(x), k) for x, k in zip(cols, kinds)], names=["kind", "coll_name", "comp", "x", "y", "n", "u", "v"])
+
+
+def _chosen(t: pa.Table) -> pa.Table:
+    """x (cluster) and y (the chosen cluster that holds it) of whole components; clusters that none holds are left out."""
+    c = t.to_pydict()
+    up = {(coll, x): (y, u >= v) for coll, x, y, u, v in zip(*(c[k] for k in ("coll_name", "x", "y", "u", "v")))}
+    holder: dict[tuple, str | None] = {}
+    for key in up:
+        way = []
+        while key is not None and key not in holder:
+            way.append(key)
+            parent = up[key][0]
+            key = (key[0], parent) if parent is not None else None
+        held = holder[key] if key is not None else None
+        for k in reversed(way):
+            held = held if held is not None else k[1] if up[k][1] else None
+            holder[k] = held
+    rows = [(coll, x, y) for (coll, x), y in holder.items() if y is not None]
+    return pa.table([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["coll_name", "x", "y"])
+
+
+def _whole(df: DataFrame, run, schema: str) -> DataFrame:
+    """`run` over partitions of whole components."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = list(batches)
+        if all_:
+            yield from run(pa.Table.from_batches(all_).combine_chunks()).to_batches()
+
+    return df.repartition("coll_name", "comp").mapInArrow(parts, schema)
+
+
+def stable_clusters(forest: DataFrame, labels: DataFrame, weights: DataFrame, least: float = LEAST, min_size: int = 5, band_edges: int | None = None) -> DataFrame:
+    """coll_name, node, cluster, density: the chosen cluster of each node that is in one, and the density at which the node
+    comes into the hierarchy. weights: coll_name, node, weight."""
+    band_edges = band_edges or BAND_EDGES
+    where = weights.join(labels, ["coll_name", "node"], "left").select("coll_name", "node", "weight", F.coalesce("label", "node").alias("comp"))
+    # a node without an edge is a cluster only by its copies
+    where = where.join(labels.select("coll_name", "node", F.lit(True).alias("_linked")), ["coll_name", "node"], "left")
+    where = cut(where.where(F.col("_linked") | (F.col("weight") >= min_size)).drop("_linked"))
+    comp = labels.select("coll_name", F.col("node").alias("a"), F.col("label").alias("comp"))
+    edges = cut(forest.join(comp, ["coll_name", "a"]).select("coll_name", "comp", "a", "b", "length"))
+    big = edges.groupBy("coll_name", "comp").count().where(F.col("count") > band_edges)
+    most = big.agg(F.max("count")).first()[0] or 1
+    bands = -(-most // band_edges)
+    cuts = [-1.0, 3.0]
+    if bands > 1:
+        inner = edges.join(big, ["coll_name", "comp"]).agg(F.percentile_approx("length", [i / bands for i in range(1, bands)], 10_000)).first()[0]
+        cuts = sorted({-1.0, 3.0, *inner})
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("y", "string"), ("u", "double"), ("v", "double"))]
+    state = where.select(F.lit("label").alias("kind"), "coll_name", "comp", F.col("node").alias("x"), none[0], F.col("weight").alias("n"), *none[1:])
+    at = where.select("coll_name", "node", F.col("node").alias("label"))
+    joined, ended = [], []
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        fresh, last = i == 0, i == len(cuts) - 2
+        band = edges.where((F.col("length") > low) & (F.col("length") <= high))
+        if not fresh:
+            for end in ("a", "b"):
+                band = band.join(now.select("coll_name", F.col("node").alias(end), F.col("label").alias(f"_{end}")), ["coll_name", end])  # noqa: F821
+            band = band.select("coll_name", "comp", F.col("_a").alias("a"), F.col("_b").alias("b"), "length").where(F.col("a") != F.col("b"))
+        rows = band.select(F.lit("edge").alias("kind"), "coll_name", "comp", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("bigint").alias("n"), F.col("length").alias("u"), none[2])
+        run = lambda t, fresh=fresh, last=last: _condense(t, fresh, last, min_size, 1 / (1 - least))
+        out = cut(_whole(state.unionByName(rows), run, _ROWS))
+        join = out.where("kind = 'join'").select("coll_name", F.col("x").alias("label"), F.col("y").alias("cluster"), F.col("u").alias("density"))
+        joined.append(at.join(join, ["coll_name", "label"]).select("coll_name", "node", "cluster", "density"))
+        ended.append(out.where("kind = 'cluster'"))
+        if not last:
+            state = out.where("kind = 'label'")
+            # every node's label, for the edges, and the nodes that are in no cluster yet
+            roots = cut(_whole(rows.select("coll_name", "comp", "x", "y"), _roots, "coll_name string, comp string, label string, root string"))
+            before = at.select("coll_name", "node", "label") if fresh else now  # noqa: F821
+            now = cut(before.join(roots.drop("comp"), ["coll_name", "label"], "left").select("coll_name", "node", F.coalesce("root", "label").alias("label")))
+            moves = out.where("kind = 'move'").select("coll_name", F.col("x").alias("label"), F.col("y").alias("_to"))
+            at = cut(at.join(moves, ["coll_name", "label"]).select("coll_name", "node", F.col("_to").alias("label")))
+    joined, ended = reduce(DataFrame.unionByName, joined), reduce(DataFrame.unionByName, ended)
+    held = _whole(ended, _chosen, "coll_name string, x string, y string").select("coll_name", F.col("x").alias("cluster"), F.col("y").alias("_chosen"))
+    return joined.join(held, ["coll_name", "cluster"]).select("coll_name", "node", F.col("_chosen").alias("cluster"), "density")
+
+
+def _roots(t: pa.Table) -> pa.Table:
+    """The smallest label that each label of a band's edges is joined with."""
+    ends: dict[tuple, tuple] = {}
+
+    def find(x):
+        while ends.setdefault(x, x) != x:
+            ends[x] = x = ends[ends[x]]
+        return x
+
+    comp: dict[tuple, str] = {}
+    for coll, c, x, y in zip(*(t[k].to_pylist() for k in ("coll_name", "comp", "x", "y"))):
+        a, b = find((coll, x)), find((coll, y))
+        comp[coll, x] = comp[coll, y] = c
+        if a != b:
+            ends[max(a, b)] = min(a, b)
+    rows = [(x[0], comp[x], x[1], find(x)[1]) for x in list(ends)]
+    return pa.table([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["coll_name", "comp", "label", "root"])
+
+
+def clusters(usable: DataFrame, min_size: int = 5, min_samples: int = 3, least: float = LEAST, exemplars: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, descriptions).
 
-    members: coll_name, id, cluster (its smallest id), persistence (the densest level, 1 / distance, at which
-    the member is in a component of `min_size`). descriptions: coll_name, cluster, size, exemplars, usual.
+    members: coll_name, id, cluster (its smallest id), persistence (the density, 1 / distance, at which the member comes
+    into the hierarchy). descriptions: coll_name, cluster, size, exemplars, usual.
     """
     keyed = cut(directions(usable, 1))
-    forest, _ = spanning_forest(thin(neighbour_graph(keyed, min_samples=min_samples, longest=ladder[0])))
-    n = _levels(cut(nodes(keyed)), cut(forest), ladder)
-    levels, density = range(len(ladder)), [1 / d for d in ladder]
-    tables: dict[int, DataFrame] = {}
-    for i in levels:
-        parent = F.min(f"l{i - 1}") if i else F.lit(None).cast("string")
-        t = n.groupBy("coll_name", F.col(f"l{i}").alias("c")).agg(F.sum("weight").alias("size"), parent.alias("parent"))
-        tables[i] = t.where(F.col("size") >= min_size)
-    up: dict[int, DataFrame] = {}
-    for i in reversed(levels):
-        gain = F.col("size") * (density[i] - (density[i - 1] if i else 0.0))
-        t = tables[i]
-        if i < len(ladder) - 1:
-            kids = up[i + 1].groupBy("coll_name", F.col("parent").alias("c")).agg(
-                F.count(F.lit(1)).alias("kids"), F.sum("own").alias("_own"), F.sum("alt").alias("_alt"), F.sum(F.greatest("own", "alt")).alias("_best")
-            )
-            t = t.join(kids, ["coll_name", "c"], "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
-        else:
-            t = t.select("*", F.lit(0).alias("kids"), F.lit(0.0).alias("_own"), F.lit(0.0).alias("_alt"), F.lit(0.0).alias("_best"))
-        one = F.col("kids") == 1
-        own = gain + F.when(one, F.col("_own")).otherwise(0.0)
-        alt = F.when(one, F.col("_alt")).when(F.col("kids") > 1, F.col("_best")).otherwise(0.0)
-        up[i] = cut(t.select("coll_name", "c", "parent", "size", "kids", own.alias("own"), alt.alias("alt")))
-    chosen, above = [], None
-    for i in levels:
-        t = up[i]
-        wins = F.col("own") >= F.col("alt")
-        if above is None:
-            t = t.withColumn("_starts", F.lit(True)).withColumn("_in", F.lit(False))
-        else:
-            t = t.join(above, ["coll_name", "parent"], "left")
-            t = t.withColumn("_starts", F.col("_kids") != 1).withColumn("_in", F.col("_taken"))
-        t = cut(t.withColumn("_pick", ~F.col("_in") & F.col("_starts") & wins))  # else the plan doubles by level
-        chosen.append(t.where("_pick").select("coll_name", F.lit(i).alias("level"), "c"))
-        above = t.select("coll_name", F.col("c").alias("parent"), F.col("kids").alias("_kids"), (F.col("_in") | F.col("_pick")).alias("_taken"))
-    picked = cut(reduce(DataFrame.unionByName, chosen))
-    in_big = [n.select("coll_name", "node", F.lit(i).alias("level"), F.col(f"l{i}").alias("c")).join(tables[i].select("coll_name", "c"), ["coll_name", "c"]) for i in levels]
-    stays = cut(reduce(DataFrame.unionByName, in_big))
-    lasts = stays.groupBy("coll_name", "node").agg(F.max("level").alias("last"))
-    member = stays.join(picked, ["coll_name", "level", "c"]).select("coll_name", "node", F.col("c").alias("cluster"), "level")
-    strength = F.element_at(F.array(*map(F.lit, density)), F.col("last") + 1)
-    member = member.join(lasts, ["coll_name", "node"]).select("coll_name", "node", F.col("cluster"), strength.alias("persistence"))
-    member = member.join(nodes(keyed).drop("weight"), ["coll_name", "node"]).drop("node")
+    forest, labels = density_forest(keyed, least, min_samples)
+    all_ = cut(nodes(keyed))
+    member = stable_clusters(cut(forest), cut(labels), all_.drop("dir_key"), least, min_size)
+    member = cut(member.join(all_.drop("weight"), ["coll_name", "node"]))
+    first = member.groupBy("coll_name", "cluster").agg(F.min("node").alias("_first"))
+    member = member.join(first, ["coll_name", "cluster"]).select("coll_name", "dir_key", F.col("_first").alias("cluster"), F.col("density").alias("persistence"))
     keep = [c for c in ("metadata",) if c in keyed.columns]
     members = cut(keyed.select("coll_name", "id", "dir_key", *keep).join(member, ["coll_name", "dir_key"]).drop("dir_key"))
     return members, describe(members, exemplars)

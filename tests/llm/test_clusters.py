@@ -65,6 +65,104 @@ def test_groups_and_clusters(spark):
     assert C.clusters(usable.limit(0))[1].count() == 0
 
 
+def test_arcs_that_meet_beyond_their_nearest(spark):
+    """Two tight arcs whose links are in nobody's nearest: one group."""
+    turn = lambda t, z: [np.cos(t), np.sin(t), z, 0.0]
+    x = np.array([turn(0.002 * i, 0.0) for i in range(20)] + [turn(0.002 * i, 0.55) for i in range(20)])
+    usable = usable_vectors(spark.createDataFrame(rows_of(x), VECTORS), spark.createDataFrame([("c", 4)], CONFIG))
+    assert {r.first_id for r in C.similarity_groups(usable).collect()} == {"v0000"}
+
+
+def plain_clusters(x, weight, min_size, min_samples, least):
+    """The method on one machine, all distances at once: the nodes of each chosen cluster."""
+    n = len(x)
+    d = np.round(1 - x @ x.T, 6)
+    core = np.empty(n)
+    for i in range(n):
+        own = sorted((0.0 if j == i else d[i, j], j) for j in range(n) for _ in range(weight[j] - (j == i)))
+        core[i] = own[min_samples - 2][0] if len(own) > min_samples - 2 else 9
+    m = np.round(np.maximum(d, np.maximum(core[:, None], core[None])), 6)
+    clusters, above = [], {}
+
+    def down(nodes, top):  # top: the length at which this set comes into being, from above
+        lengths = sorted({m[i, j] for i in nodes for j in nodes if i < j}, reverse=True)
+        me = {"nodes": set(nodes), "kids": [], "own": 0.0}
+        rest = list(nodes)
+        for w in lengths:
+            parts, left = [], set(rest)
+            while left:
+                todo, part = [min(left)], set()
+                while todo:
+                    i = todo.pop()
+                    if i in part:
+                        continue
+                    part.add(i)
+                    todo += [j for j in left if j not in part and m[i, j] < w]
+                left -= part
+                parts.append(part)
+            big = [p for p in parts if sum(weight[i] for i in p) >= min_size]
+            gone = [i for p in parts if p not in big for i in p]
+            me["own"] += sum(weight[i] for i in gone) * (1 / max(w, 1e-6) - 1 / top)
+            if len(big) > 1:
+                me["own"] += sum(weight[i] for p in big for i in p) * (1 / max(w, 1e-6) - 1 / top)
+                me["kids"] = [down(sorted(p), max(w, 1e-6)) for p in big]
+                rest = []
+                break
+            rest = sorted(big[0]) if big else []
+            if not rest:
+                break
+        me["own"] += sum(weight[i] for i in rest) * (1 / 1e-6 - 1 / top)
+        below = sum(k["best"] for k in me["kids"])
+        me["wins"], me["best"] = me["own"] >= below, max(me["own"], below)
+        return me
+
+    def pick(c):
+        if c["wins"]:
+            clusters.append(frozenset(c["nodes"]))
+        else:
+            for k in c["kids"]:
+                pick(k)
+
+    left = set(range(n))
+    while left:
+        todo, part = [min(left)], set()
+        while todo:
+            i = todo.pop()
+            if i not in part:
+                part.add(i)
+                todo += [j for j in left if j not in part and m[i, j] <= round(1 - least, 6)]
+        left -= part
+        if sum(weight[i] for i in part) >= min_size:
+            pick(down(sorted(part), 1 - least))
+    return set(clusters)
+
+
+def test_stable_clusters_equal_the_method_on_one_machine(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = [c + 0.25 * rng.normal(size=12) for c in 1.0 * rng.normal(size=(4, 12)) for _ in range(3)]
+    x = np.concatenate([c + s * rng.normal(size=(n, 12)) for c, s, n in zip(centres, [0.02, 0.05, 0.1] * 4, [9, 14, 25, 6, 30, 8, 5, 5, 12, 40, 7, 9])])
+    x = np.concatenate([x, x[:3], x[:3], x[50:52] * 2, rng.normal(size=(30, 12)), [[9.0] + [0.0] * 11] * 6])
+    usable = usable_vectors(spark.createDataFrame(rows_of(x), VECTORS), spark.createDataFrame([("c", 12)], CONFIG))
+    keyed = C.cut(C.directions(usable.select("coll_name", "id", "vec_values"), 1))
+    all_ = C.nodes(keyed).drop("dir_key").collect()
+    number = {r.node: i for i, r in enumerate(sorted(all_, key=lambda r: r.node))}
+    names = sorted(number)
+    u, weight = unit(np.asarray(x, np.float32).astype(float))[[int(i[1:]) for i in names]], [r.weight for r in sorted(all_, key=lambda r: r.node)]
+    want = {frozenset(names[i] for i in c) for c in plain_clusters(u, weight, 5, 3, 0.85)}
+    assert len(want) >= 6
+    forest, labels = map(C.cut, C.density_forest(keyed, 0.85, 3))
+    weights = C.nodes(keyed).drop("dir_key")
+    for band_edges in (None, 25):  # at once, and the large components in bands
+        got = {}
+        for r in C.stable_clusters(forest, labels, weights, 0.85, 5, band_edges).collect():
+            got.setdefault(r.cluster, set()).add(r.node)
+        assert {frozenset(c) for c in got.values()} == want
+    monkeypatch.setattr(C, "LAST_EDGES", 0)  # all Boruvka rounds distributed: the same components and lengths
+    other, parts = C.density_forest(keyed, 0.85, 3)
+    assert sorted(r.length for r in other.collect()) == sorted(r.length for r in forest.collect())
+    assert set(map(tuple, parts.collect())) == set(map(tuple, labels.collect()))
+
+
 def test_no_link_is_lost_between_lists(spark):
     """Isolated pairs at 0.85 to 0.93 among spread vectors, in many lists."""
     rng = np.random.default_rng(3)
@@ -94,6 +192,7 @@ def test_copies_count_in_core_distances(spark):
     x = np.stack([*[a] * 6, b, c, d, 2 * d, e])
     usable = usable_vectors(spark.createDataFrame(rows_of(x), VECTORS), spark.createDataFrame([("c", 8)], CONFIG))
     keyed = C.cut(C.directions(usable.select("coll_name", "id", "vec_values"), 1))
-    got = {(r.a, r.b): r.length for r in C.neighbour_graph(keyed, min_samples=3, longest=0.3).collect()}
-    assert got == {("v0000", "v0006"): 0.1, ("v0007", "v0008"): 0.05, ("v0007", "v0010"): 0.24, ("v0008", "v0010"): 0.24}
-    assert {r.cluster: r["size"] for r in C.clusters(usable, min_size=5)[1].collect()} == {"v0000": 7}
+    got = {(r.a, r.b): r.length for r in C.density_forest(keyed, 0.7, 3)[0].collect()}
+    assert got.pop(("v0000", "v0006")) == 0.1 and got.pop(("v0007", "v0008")) == 0.05
+    assert set(got) <= {("v0007", "v0010"), ("v0008", "v0010")} and list(got.values()) == [0.24]
+    assert {r.cluster: r["size"] for r in C.clusters(usable, min_size=5, least=0.7)[1].collect()} == {"v0000": 7}
