@@ -12,7 +12,7 @@ Plan
 3. Every direction goes to its list's region and visits other regions that hold lists it probes: `VISITS` regions at most,
    its own included, so a vector is sent at most so often and looks at a bounded number of others.
    Probes: all lists with a cell whose centre has a cosine of `DENSE` or more, so that a large dense group is
-   searched whole, and the nearest ones, more of them for vectors in no dense place (`Budget`), within `MAX_PROBES`.
+   searched whole; for vectors with few rows (`ENOUGH`) in such cells also a share of the nearest ones (`Budget`), within `MAX_PROBES`.
 4. In a region, its members are coded; tables of sixteen partial scores per block, combined to one table per byte
    of two four-bit codes, are summed over the codes of a list for a batch of queries. The best of the region (`Budget`) are
    scored again exactly (float64).
@@ -41,7 +41,7 @@ from .vectors import directions, matrix, unit
 SAMPLE_ROWS, MOST_SAMPLE = 8_192, 131_072
 LIST_ROWS, CELL_ROWS, MAX_LISTS = 256, 16, 16_384
 REGION_ROWS, VISITS = 12_288, 4
-DENSE, MAX_PROBES, EXACT = 0.8, 256, 12
+DENSE, ENOUGH, MAX_PROBES, EXACT = 0.8, 12, 256, 12
 THRESHOLD = 0.45
 #: Dimensions per block of the code book.
 WIDTH = 1
@@ -55,10 +55,10 @@ def sample_rows(rows: int) -> int:
 
 @dataclass(frozen=True)
 class Budget:
-    """How much a search looks at: the nearest lists that are probed at least, the share of the lists that a vector in
-    no dense place probes (two times the least at least), and the candidates scored exactly per region."""
+    """How much a search looks at: the nearest lists that a vector in no dense place probes at least, the share of the lists
+    if that is more, and the candidates scored exactly per region."""
 
-    least: int = 8
+    least: int = 16
     share: float = 0.15
     rerank: int = 64
 
@@ -70,6 +70,7 @@ class Model:
     centres: np.ndarray  # (lists, dim) unit vectors
     cells: np.ndarray  # (cells,): the list of each cell, ascending
     means: np.ndarray  # (cells, dim)
+    counts: np.ndarray  # (cells,): how many rows each has, by the sample
     regions: np.ndarray  # (lists,)
     parts: np.ndarray  # (regions,): into how many parts the members of a region are split
     slices: np.ndarray  # (regions,): into how many slices those who ask in a region are split
@@ -113,7 +114,7 @@ def _regions(c: np.ndarray, rows: np.ndarray, most: float) -> np.ndarray:
             n += 1
             continue
         x = c[part] - c[part].mean(0)
-        axis = np.linalg.svd(x, full_matrices=False)[2][0]
+        axis = np.linalg.eigh(x.T @ x)[1][:, -1]
         order = part[np.argsort(x @ axis, kind="stable")]
         half = np.searchsorted(np.cumsum(rows[order]), rows[order].sum() / 2)
         half = min(max(int(half), 1), len(part) - 1)
@@ -128,6 +129,21 @@ def _sizes(m: Model, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.maximum(np.sqrt(np.bincount(cells, square, len(m.means)) / np.maximum(n, 1)), 1e-6), 1.0).astype(np.float32)
 
 
+def _in_space(c: np.ndarray) -> np.ndarray:
+    """An order of centres in which neighbours in space are near: halves along the main direction, again and again."""
+    out, todo = [], [np.arange(len(c))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= 2:
+            out.append(part)
+            continue
+        x = c[part] - c[part].mean(0)
+        axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+        order = part[np.argsort(x @ axis, kind="stable")]
+        todo += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return np.concatenate(out)
+
+
 def _residuals(m: Model, x: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Residuals from the cells' means, brought to unit size per dimension."""
     return _blocks((x - m.means[cells]) / sizes[cells, None])
@@ -198,9 +214,10 @@ def fit(x: np.ndarray, rows: int, seed: int = 0) -> Model:
     x = x.astype(np.float32)
     k = int(min(max(1, rows // LIST_ROWS), MAX_LISTS, max(1, len(x) // 8)))
     centres = _kmeans(x, k, rng)
+    centres = centres[_in_space(centres)]
     near = _nearest(x, centres)
     count = np.bincount(near, minlength=k)
-    cells, means = [], []
+    cells, means, counts = [], [], []
     for one in range(k):
         mine = x[near == one]
         parts = int(max(1, min(round(count[one] * rows / len(x) / CELL_ROWS), len(mine) // 4)))
@@ -209,22 +226,24 @@ def fit(x: np.ndarray, rows: int, seed: int = 0) -> Model:
             c = _kmeans(mine, parts, rng, 6)
             at = _nearest(mine, c)
             c = np.stack([mine[at == i].mean(0) if (at == i).any() else c[i] for i in range(parts)])
+            counts.append(np.bincount(at, minlength=parts))
         else:
             c = (mine.mean(0) if len(mine) else centres[one])[None]
+            counts.append(np.array([len(mine)]))
         means.append(c)
     one = np.ones(1, int)
-    m = Model(centres, np.array(cells), np.concatenate(means).astype(np.float32), np.zeros(k, int), one, one, np.zeros(0), 1.0)
     times = rows / max(len(x), 1)
+    m = Model(centres, np.array(cells), np.concatenate(means).astype(np.float32), np.concatenate(counts) * times, np.zeros(k, int), one, one, np.zeros(0), 1.0)
     m.regions = _regions(centres, count * times, REGION_ROWS)
     members = np.bincount(m.regions, count * times)
     m.parts = np.maximum(np.ceil(members / REGION_ROWS - 0.25), 1).astype(int)
     asking = np.zeros(len(m.parts))
     for i in range(0, len(x), 1024):
-        asking += visits(m, *probes(m, x[i : i + 1024]))[0].sum(0)
+        asking += visits(m, *probes(m, x[i : i + 1024])[:3])[0].sum(0)
     m.slices = np.maximum(np.ceil(asking * times / (VISITS * REGION_ROWS) - 0.25), 1).astype(int)
     cell = cell_of(m, x, near)
     m.eta = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    some = rng.permutation(len(x))[:4096]
+    some = rng.permutation(len(x))[:2048]
     m.words = _fit_words(_residuals(m, x[some], cell[some], _sizes(m, x, cell)), _blocks(x[some]), m.eta, rng)
     return m
 
@@ -233,34 +252,28 @@ def encode(m: Model, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.n
     """Two four-bit codes per byte (rows, blocks / 2), and the size of each cell's residuals."""
     codes, sizes = [np.zeros((0, len(m.words)), np.uint8)], _sizes(m, x, cells)
     for i in range(0, len(x), 4096):
-        codes.append(_choose(_residuals(m, x[i : i + 4096], cells[i : i + 4096], sizes), _blocks(x[i : i + 4096]), m.words, m.eta, 2))
+        codes.append(_choose(_residuals(m, x[i : i + 4096], cells[i : i + 4096], sizes), _blocks(x[i : i + 4096]), m.words, m.eta, 1))
     c = np.concatenate(codes)
     return c[:, 0::2] | (c[:, 1::2] << 4), sizes
 
 
-def probes(m: Model, x: np.ndarray, budget: Budget = Budget()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(own list, mask of the lists each row probes, similarities with the lists' centres)."""
+def probes(m: Model, x: np.ndarray, budget: Budget = Budget()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(own list, mask of the lists each row probes, similarities with the lists, which rows are in dense places)."""
     s = x @ m.centres.T
     own, k = np.argmax(s, 1), s.shape[1]
-    few = min(k, budget.least)
-    many = min(k, max(2 * budget.least, int(np.ceil(budget.share * k))), MAX_PROBES)
-    close = s >= -np.partition(-s, MAX_PROBES - 1, axis=1)[:, MAX_PROBES - 1 : MAX_PROBES] if k > MAX_PROBES else np.ones(s.shape, bool)
-    ways, ends = _directions(m.means), np.searchsorted(m.cells, np.arange(k + 1))
-    inside = np.full(s.shape, -1, np.float32)
-    for one in range(k):
-        rows = np.flatnonzero(close[:, one])
-        if len(rows):
-            inside[rows, one] = (x[rows] @ ways[ends[one] : ends[one + 1]].T).max(1)
-    dense = inside.max(1) >= DENSE
-    near = -np.partition(-s, sorted({few - 1, many - 1}), axis=1)
-    mask = s >= np.where(dense, near[:, few - 1], near[:, many - 1])[:, None]
-    mask |= dense[:, None] & (inside >= DENSE)
+    many = min(k, max(budget.least, int(np.ceil(budget.share * k))), MAX_PROBES)
+    c = x @ _directions(m.means).T
+    inside = np.maximum.reduceat(c, np.searchsorted(m.cells, np.arange(k)), axis=1)
+    row, cell = np.divmod(np.flatnonzero(c >= DENSE), c.shape[1])
+    held = np.bincount(row, m.counts[cell], len(x))
+    dense = held >= ENOUGH
+    mask = (inside >= DENSE) | (~dense[:, None] & (s >= -np.partition(-s, many - 1, axis=1)[:, many - 1 : many]))
     if k > MAX_PROBES:
         best = np.maximum(s, inside)
         best[~mask] = -2
         mask &= best >= -np.partition(-best, MAX_PROBES - 1, axis=1)[:, MAX_PROBES - 1 : MAX_PROBES]
     mask[np.arange(len(x)), own] = True
-    return own, mask, np.maximum(s, inside)
+    return own, mask, np.maximum(s, inside), dense
 
 
 def visits(m: Model, own: np.ndarray, mask: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,11 +314,31 @@ def _scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_self: np.ndarray, q_probe: np.ndarray, budget: Budget = Budget()):
+def _batches(own: np.ndarray, dense: np.ndarray) -> list[np.ndarray]:
+    """Queries that look into much the same lists: those in dense places by their nearest list, the others apart."""
+    out: list[np.ndarray] = []
+    for kind in (True, False):
+        rows = np.flatnonzero(dense == kind)
+        rows = rows[np.argsort(own[rows], kind="stable")]
+        groups = np.split(rows, np.flatnonzero(np.diff(own[rows])) + 1) if kind else [rows]
+        held: list[np.ndarray] = []
+        for g in groups:
+            held.append(g)
+            n = sum(map(len, held))
+            if n >= _BATCH // 2 or g is groups[-1]:
+                out += [b for b in np.array_split(np.concatenate(held), max(1, -(-n // _BATCH))) if len(b)]
+                held = []
+    return out
+
+
+def search_region(
+    m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_self: np.ndarray, q_probe: np.ndarray,
+    budget: Budget = Budget(), dense: np.ndarray | None = None,
+):
     """The best EXACT vectors of a region for each query: indices (-1: none) and cosines.
 
     x: the region's unit vectors (float64) with their cells and codes; sizes: the residual size of each cell; q: the queries
-    (float64), q_self: a query's own index in x or -1; q_probe: (queries, lists) mask.
+    (float64), q_self: a query's own index in x or -1; q_probe: (queries, lists) mask; dense: which queries are in dense places.
 
     Scores stay sums of 16-bit table entries. A query's worst kept score is turned into the least sum that a row of each cell
     must have, so rows that can't come in cost a comparison; the others are collected until `rerank` of them are chosen.
@@ -314,21 +347,23 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
     lists = m.cells[cells[order]]
     used, first = np.unique(lists, return_index=True)
     ends = np.append(first[1:], len(order))
-    blocks = []
-    for k, (a, b) in enumerate(zip(first, ends)):
-        for i in range(a, b, _BLOCK):
-            rows = order[i : min(i + _BLOCK, b)]
-            here, starts = np.unique(cells[rows], return_index=True)
-            blocks.append((k, rows, np.ascontiguousarray(codes[rows].T).astype(np.intp), here, np.diff(np.append(starts, len(rows)))))
+
+    def block(a: int, b: int):
+        """Rows a to b of the order: their lists (numbers in `used`), rows, codes, cells and the cells' runs."""
+        rows = order[a:b]
+        here, starts = np.unique(cells[rows], return_index=True)
+        return np.unique(np.searchsorted(used, m.cells[here])), rows, np.ascontiguousarray(codes[rows].T).astype(np.intp), here, np.diff(np.append(starts, len(rows)))
+
+    # list by list for queries that look into few, and large blocks for the others
+    by_list = [block(i, min(i + _BLOCK, b)) for a, b in zip(first, ends) for i in range(a, b, _BLOCK)]
+    large = [block(i, min(i + _BLOCK, len(order))) for i in range(0, len(order), _BLOCK)]
     x32, q32 = x.astype(np.float32), q.astype(np.float32)
     found, score = np.full((len(q), EXACT), -1, np.int64), np.full((len(q), EXACT), -np.inf)
     if not len(used) or not len(q):
         return found, score
     near = q32 @ m.centres[used].T
-    turn = np.lexsort((np.argmax(near, 1), q_probe[:, used].sum(1) // 16))
     room = 2 * budget.rerank + _BLOCK
-    for start in range(0, len(q), _BATCH):
-        batch = turn[start : start + _BATCH]
+    for batch in _batches(np.argmax(near, 1), np.ones(len(q), bool) if dense is None else dense):
         n = len(batch)
         tables, step, base = _tables(m, q32[batch])
         best, index = np.full((n, room), -np.inf, np.float32), np.full((n, room), -1, np.int64)
@@ -336,30 +371,37 @@ def search_region(m: Model, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
         probed = q_probe[np.ix_(batch, used)]
         ask = probed.sum(0)
         # the lists that are nearest to the batch come first, so that the worst kept score rises early
-        by_list = np.argsort(np.where(ask > 0, -(near[batch] * probed).sum(0) / np.maximum(ask, 1), np.inf), kind="stable")
-        place = np.empty(len(used), int)
-        place[by_list] = np.arange(len(used))
+        close = np.where(ask > 0, (near[batch] * probed).sum(0) / np.maximum(ask, 1), -np.inf)
 
         def choose(which: np.ndarray) -> None:
             """Keep the best `rerank` candidates of some queries."""
-            keep = np.argpartition(-best[which], budget.rerank - 1, axis=1)[:, : budget.rerank]
-            best[which, : budget.rerank] = np.take_along_axis(best[which], keep, 1)
-            index[which, : budget.rerank] = np.take_along_axis(index[which], keep, 1)
-            best[which, budget.rerank :] = -np.inf
+            end = max(int(count[which].max()), budget.rerank)
+            rows = which[:, None]
+            keep = np.argpartition(-best[which, :end], budget.rerank - 1, axis=1)[:, : budget.rerank]
+            best[which, : budget.rerank], index[which, : budget.rerank] = best[rows, keep], index[rows, keep]
+            best[which, budget.rerank : end] = -np.inf
             count[which] = np.minimum(count[which], budget.rerank)
-            worst[which] = best[which, : budget.rerank].min(1)
+            worst[which] = best[which, : budget.rerank].min(1)  # -inf while they are fewer
 
-        for k, rows, block, here, runs in sorted((b for b in blocks if ask[b[0]]), key=lambda b: place[b[0]]):
+        wide = 2 * (ask > 0).sum() > len(used)
+        for _, rows, some, here, runs in sorted((b for b in (large if wide else by_list) if ask[b[0]].any()), key=lambda b: -close[b[0]].max()):
             # all queries of the batch: to copy the tables of some would cost more than to scan for all
-            s = _scan(tables, block)
+            s = _scan(tables, some)
             offset = m.means[here] @ q32[batch].T
+            if not count.any():  # the first block: nothing to compare with yet
+                value = (s * step + base) * np.repeat(sizes[here], runs)[:, None] + np.repeat(offset, runs, axis=0)
+                best[:, : len(rows)], index[:, : len(rows)] = value.T, rows
+                count[:] = len(rows)
+                choose(np.arange(n))
+                continue
             least = ((worst - offset) / sizes[here, None] - base) / step
             least = np.clip(least, 0, 65535).astype(np.uint16)
-            r, c = np.nonzero(s >= np.repeat(least, runs, axis=0))
-            if not len(r):
+            flat = np.flatnonzero(s >= np.repeat(least, runs, axis=0))
+            if not len(flat):
                 continue
+            r, c = np.divmod(flat, n)
             cell = np.repeat(np.arange(len(here)), runs)[r]
-            value = (s[r, c] * step[c] + base[c]) * sizes[here[cell]] + offset[cell, c]
+            value = (s.ravel()[flat] * step[c] + base[c]) * sizes[here[cell]] + offset[cell, c]
             by_query = np.argsort(c, kind="stable")
             r, c, value = rows[r[by_query]], c[by_query], value[by_query]
             added = np.bincount(c, minlength=n)
@@ -435,7 +477,7 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch, budget: Budget):
             continue
         part = batch.take(pa.array(np.flatnonzero(names == name)))
         values = matrix(part.column("vec_values"), np.float32)
-        own, mask, near = probes(m, unit(values.astype(np.float64)).astype(np.float32), budget)
+        own, mask, near, _ = probes(m, unit(values.astype(np.float64)).astype(np.float32), budget)
         # drawn from the row alone, so a task that runs again places it alike
         lot = (np.ascontiguousarray(values).view(np.uint32).astype(np.uint64).sum(1) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.int64)
         row, unit_, member, asks = units(m, m.regions[own], visits(m, own, mask, near)[0], lot)
@@ -472,8 +514,9 @@ def _find(m: Model, t: pa.Table, budget: Budget) -> tuple[np.ndarray, np.ndarray
     cells = cell_of(m, x32, own)
     codes, sizes = encode(m, x32, cells)
     q = x[asks]
-    mask = np.concatenate([visits(m, *probes(m, q[i : i + 2048].astype(np.float32), budget))[1] for i in range(0, len(q), 2048)])
-    found, score = search_region(m, x[home], cells, codes, sizes, q, number[asks], mask, budget)
+    looks = [probes(m, q[i : i + 2048].astype(np.float32), budget) for i in range(0, len(q), 2048)]
+    mask, dense = np.concatenate([visits(m, *p[:3])[1] for p in looks]), np.concatenate([p[3] for p in looks])
+    found, score = search_region(m, x[home], cells, codes, sizes, q, number[asks], mask, budget, dense)
     return home, asks, number[asks], found, np.round(score, 6)
 
 

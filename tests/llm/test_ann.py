@@ -40,7 +40,7 @@ def test_recall_against_brute_force(spark, groups):
 def test_score_aware_codes_keep_the_parallel_error_small(groups):
     x = unit(groups).astype(np.float32)
     m = fit(x, len(x))
-    own, mask, _ = probes(m, x)
+    own, mask, *_ = probes(m, x)
     cells = cell_of(m, x, own)
     codes, sizes = encode(m, x, cells)
     words = np.empty((len(x), codes.shape[1] * 2), np.uint8)
@@ -117,7 +117,7 @@ def test_sent_rows_do_not_grow_with_the_collection(spread):
     x = unit(draw(ann.sample_rows(rows) // 4))
     m = ann.fit(x, rows)
     y = unit(draw(4000)).astype(np.float32)
-    own, mask, near = ann.probes(m, y)
+    own, mask, near, _ = ann.probes(m, y)
     row, unit_, member, asks = ann.units(m, m.regions[own], ann.visits(m, own, mask, near)[0], rng.integers(0, 2**40, len(y)))
     assert np.bincount(row[asks], minlength=len(y)).max() <= ann.VISITS * m.parts.max()
     assert len(row) / len(y) <= 4.5
