@@ -3,20 +3,21 @@
 A document leaks an item if it holds a passage of at least `MIN_WORDS` words of the item, in order, of which at
 most one in `ONE_IN` is changed, missing or added. Case, punctuation, line breaks, markup, comment signs and
 escapes do not count; cell borders of a notebook break passages. An opening instruction (the first sentence or
-line) that stands in several different items is not counted. Items that normalise to one text all leak.
+line) that stands in two or more different items is not counted. Items that normalise to one text all leak.
 
 Filter and verification, per Arrow batch of documents:
-1. Seeds: runs of `RUN` equal words, of any item, looked up for all positions of all texts in a bit table. A passage
-   that can be halved has a half that is a passage too, so one of less than 2 MIN_WORDS words, with two edits at most,
-   is enough. Its L words with e edits have L - e equal words in at most e + 1 runs, so at least L - e - (RUN - 1)(e + 1)
-   seeds: 3 for 12 words and one edit, 2 for 16 and two. Their diagonals differ by two at most. No passage has fewer
-   than `SEEDS`.
-2. A (document, item) pair's seeds are put in overlapping diagonal bands, and bands are cut where no seed follows
-   within a passage's length; parts with fewer than SEEDS are dropped.
-3. Banded alignment of the words around what is left: runs of equal words near the band's diagonal are chained; a
-   gap costs as many edits as its longer side has words.
-
-Items are a small table (`ITEMS_AT_ONCE` rows are sent to the tasks at once; more are searched in blocks).
+1. Q-grams: the text of `RUN` words in a row, of any item, looked up for all positions of all texts in a bit table. The edit
+   budget counts words, of any number of letters, so q-grams are cut at words. A passage begins and ends with equal words. A
+   long one can be cut so that a part is a passage too, so those with up to EDITS edits, of less than ONE_IN (EDITS + 1) words, are
+   enough. By the q-gram lemma L words with e edits share L - RUN + 1 - RUN e q-grams with the item: 3 for 12 words and one edit,
+   2 for 16 and two, 5 for 24 and three, 8 for 32 and four. No passage has fewer than `SEEDS`.
+2. A (document, item) pair's q-grams are counted in overlapping diagonal bands, and bands are cut where none follows
+   within a passage's length; regions with fewer than SEEDS are dropped.
+3. Banded alignment of the words of each region (`aligned`): for each end of an alignment near the band's diagonals and
+   each number of edits up to EDITS, the most words of the item that it spans. All regions of a batch go on side by side, as arrays.
+
+The corpus is read once, whatever the number of items. Items are a small table; `ITEMS_AT_ONCE` of them are held by a task at once,
+more are taken in blocks over each batch of documents, with one set of openings and one set of results.
 Null, blank and very short items and null, empty texts give nothing; whole texts are searched; repeated
 documents and items each give their rows, once. An empty table gives an empty result.
 """
@@ -36,9 +37,11 @@ from pyspark.sql import types as T
 
 MIN_WORDS, ONE_IN = 12, 8
 RUN, SEEDS = 5, 2
-BAND = 8
-#: Words beside a seed that its passage can reach: less than two lengths, and the edits.
-REACH = 2 * MIN_WORDS + 2
+BAND, EDITS = 8, 4
+#: Diagonals beside a band's middle that an alignment may use, and regions aligned side by side.
+REACH_OF_BAND, SIDE_BY_SIDE = BAND // 2 + EDITS, 512
+#: Words beside a seed that its passage can reach: less than EDITS + 1 times ONE_IN, and the edits.
+REACH = (EDITS + 1) * ONE_IN + EDITS
 ITEMS_AT_ONCE = 5000
 _BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -74,12 +77,12 @@ def _opening(text: str) -> tuple[str, str] | None:
 
 
 def _openings(texts: list[str]) -> set[str]:
-    """First sentences or lines, as words, that several different items share."""
+    """First sentences or lines, as words, that two or more different items share."""
     seen = defaultdict(set)
     for t in texts:
         if o := _opening(t):
             seen[o[0]].add(o[1])
-    return {h for h, full in seen.items() if len(full) > 2}
+    return {h for h, full in seen.items() if len(full) > 1}
 
 
 class Items:
@@ -103,6 +106,7 @@ class Items:
                 by_words[tuple(w)].append(i)
         self.words, self.ids = list(by_words), list(by_words.values())
         self.number = {x: n for n, x in enumerate(sorted({x for w in self.words for x in w}))}
+        self.coded = [np.array([self.number[x] for x in w], np.int64) for w in self.words]
         flat: list[int] = []
         for w in self.words:
             flat += [self.number[x] for x in w]
@@ -137,86 +141,79 @@ def _slot(g: np.ndarray) -> np.ndarray:
         return ((g * _MULT) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _chained(doc: list[str], item: tuple[str, ...], diagonal: int, reach: int) -> bool:
-    """Whether a chain of equal runs near a diagonal makes a passage. Positions are word numbers."""
-    at = defaultdict(list)
-    for j, w in enumerate(item):
-        at[w].append(j)
-    open_: dict[int, list[int]] = {}
-    runs: list[list[int]] = []  # doc start, item start, length
-    for i, w in enumerate(doc):
-        for j in at.get(w, ()):
-            if abs(i - j - diagonal) <= reach:
-                r = open_.get(i - j)
-                if r is not None and r[0] + r[2] == i:
-                    r[2] += 1
-                else:
-                    r = open_[i - j] = [i, j, 1]
-                    runs.append(r)
-    if any(n >= MIN_WORDS for _, _, n in runs):
-        return True
-    runs.sort()
-    most = len(item) // ONE_IN + 1
-    best: list[dict[int, int]] = []  # for each run: edits -> the longest passage that ends with it
-    for b, (i, j, n) in enumerate(runs):
-        mine = {0: n}
-        for a in range(b - 1, -1, -1):
-            pi, pj, pn = runs[a]
-            if i - pi > 3 * MIN_WORDS + pn:
-                continue
-            over = max(0, pi + pn - i, pj + pn - j)  # runs may overlap at an edge: the earlier one gives way
-            di, dj = i - (pi + pn - over), j - (pj + pn - over)
-            if over >= pn or di < 0 or dj < 0 or (di == 0 and dj == 0):
-                continue
-            cost = max(di, dj)
-            for e, length in best[a].items():
-                if e + cost <= most and mine.get(e + cost, 0) < length - over + dj + n:
-                    mine[e + cost] = length - over + dj + n
-        if any(length >= MIN_WORDS and ONE_IN * e <= length for e, length in mine.items()):
-            return True
-        best.append(mine)
-    return False
-
-
-def leaks_of(item: tuple[str, ...], at: np.ndarray, item_at: np.ndarray, doc: list[str], k: int, cache: dict) -> bool:
-    """Steps 2 and 3 for one document and one item, from the places of the seeds in both (ascending in the document)."""
+def aligned(docs: list[np.ndarray], items: list[np.ndarray], diagonals: list[int]) -> np.ndarray:
+    """Which regions hold a passage. A region: the words of a part of a document, those of an item, as numbers, and the middle
+    diagonal (place in the part minus place in the item) of its band.
+
+    After place i of all parts, row e of `span` has for each diagonal the most words of the item that an alignment with e edits
+    spans that ends there; an alignment begins and ends with an equal word.
+    """
+    found = np.zeros(len(docs), bool)
+    order = np.argsort([len(d) for d in docs], kind="stable")
+    offset = np.arange(-REACH_OF_BAND, REACH_OF_BAND + 1)
+    for start in range(0, len(order), SIDE_BY_SIDE):
+        rows = order[start : start + SIDE_BY_SIDE]
+        n, wide = len(rows), max(len(docs[r]) for r in rows)
+        tall = max(len(items[r]) for r in rows)
+        doc, item = np.full((n, wide), -1), np.full((n, tall + 2), -2)
+        for k, r in enumerate(rows):
+            doc[k, : len(docs[r])] = docs[r]
+            item[k, : len(items[r])] = items[r]
+        middle = np.array([diagonals[r] for r in rows])
+        span = np.full((EDITS + 1, n, len(offset)), -999)
+        good = np.zeros(n, bool)
+        for i in range(wide):
+            j = i - middle[:, None] + offset  # the item's place on each diagonal
+            there = np.take_along_axis(item, np.clip(j, 0, tall), 1)
+            there = np.where((j >= 0) & (j < tall), there, -2)
+            inside = (j >= 0) & (there != -2)
+            equal = (there == doc[:, i : i + 1]) & inside
+            new = np.full_like(span, -999)
+            new[0] = np.where(equal, np.maximum(span[0], 0) + 1, -999)
+            good |= (new[0] >= MIN_WORDS).any(1)
+            for e in range(1, EDITS + 1):
+                match = np.where(equal & (span[e] > 0), span[e] + 1, -999)
+                good |= ((match >= MIN_WORDS) & (match >= ONE_IN * e)).any(1)
+                changed = np.where(inside & (span[e - 1] > 0), span[e - 1] + 1, -999)
+                added = np.full_like(match, -999)  # a word of the document that the item lacks: the same place of the item before
+                added[:, :-1] = span[e - 1][:, 1:]
+                missing = np.full_like(match, -999)  # a word of the item that the document lacks
+                missing[:, 1:] = np.where(inside[:, 1:] & (new[e - 1][:, :-1] > 0), new[e - 1][:, :-1] + 1, -999)
+                new[e] = np.maximum(np.maximum(match, changed), np.maximum(added, missing))
+            span = new
+            if good.all():
+                break
+        found[rows] = good
+    return found
+
+
+def regions_of(at: np.ndarray, item_at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, middle diagonal) of the regions of a document with q-grams enough, from the places of the q-grams of
+    one item in both (ascending in the document)."""
     diagonal = at - item_at
-    done = set()
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
         order = np.argsort(band, kind="stable")
         cuts = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(at[order]) > REACH)) + 1
         for part in np.split(order, cuts):
-            if len(part) < SEEDS:
-                continue
-            a, z = max(0, int(at[part[0]]) - REACH), int(at[part[-1]]) + RUN + REACH
-            middle = int(band[part[0]]) * BAND - shift + BAND // 2
-            words = doc[a:z]
-            key = (k, middle - a, *words)
-            if key in done:
-                continue
-            done.add(key)
-            if key not in cache:
-                if len(cache) > 20_000:
-                    cache.clear()
-                cache[key] = _chained(words, item, middle - a, 14)
-            if cache[key]:
-                return True
-    return False
+            if len(part) >= SEEDS:
+                a = max(0, int(at[part[0]]) - REACH)
+                yield a, int(at[part[-1]]) + RUN + REACH, int(band[part[0]]) * BAND - shift + BAND // 2 - a
 
 
-def search_batch(items: Items, texts: list[str | None], cache: dict) -> Iterator[tuple[int, int]]:
-    """(place of the text, item id) of all leaks."""
+def search_batch(items: Items, texts: list[str | None] | list[list[str]], cache: dict) -> Iterator[tuple[int, int]]:
+    """(place of the text, item id) of all leaks. Texts may be given as their words."""
     if not items.words:
         return
-    words = [words_of(t, notebook=True) if t else [] for t in texts]
+    words = [t if isinstance(t, list) else words_of(t, notebook=True) if t else [] for t in texts]
     get, flat = items.number.get, []
     for w in words:
         flat += [get(x, -1) for x in w]
         flat.append(-1)
+    flat = np.array(flat, np.int64)
     lens = np.array([len(w) + 1 for w in words], np.int64)
     first = np.cumsum(lens) - lens
-    at, seeds = _runs(np.array(flat, np.int64))
+    at, seeds = _runs(flat)
     some = items.bits[_slot(seeds)]
     at, seeds = at[some], seeds[some]
     left, right = np.searchsorted(items.seed, seeds, "left"), np.searchsorted(items.seed, seeds, "right")
@@ -227,12 +224,29 @@ def search_batch(items: Items, texts: list[str | None], cache: dict) -> Iterator
     pair = doc * len(items.words) + items.seed_item[hit]
     order = np.argsort(pair, kind="stable")
     own, start, count = np.unique(pair[order], return_index=True, return_counts=True)
+    asked: dict[tuple[int, int], list] = {}
+    todo: dict[tuple, tuple] = {}
     for p, i, c in zip(own.tolist(), start.tolist(), count.tolist()):
         if c < SEEDS:
             continue
         d, k = divmod(p, len(items.words))
         mine = order[i : i + c]
-        if leaks_of(items.words[k], at[row[mine]] - first[d], items.seed_at[hit[mine]], words[d], k, cache):
+        for a, z, middle in regions_of(at[row[mine]] - first[d], items.seed_at[hit[mine]]):
+            part = flat[first[d] + a : first[d] + min(z, len(words[d]))]
+            key = (k, middle, part.tobytes())
+            asked.setdefault((d, k), []).append(key)
+            if key not in cache:
+                todo[key] = (part, items.coded[k], middle)
+    if todo:
+        cols = list(zip(*todo.values()))
+        said = aligned(*map(list, cols)).tolist()
+        if len(cache) + len(todo) > 50_000:
+            kept = {key: cache[key] for keys in asked.values() for key in keys if key in cache}
+            cache.clear()
+            cache.update(kept)
+        cache.update(zip(todo, said))
+    for (d, k), keys in asked.items():
+        if any(cache[key] for key in keys):
             for i in items.ids[k]:
                 yield d, i
 
@@ -246,7 +260,7 @@ def _shared_openings(known: DataFrame) -> set[str]:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["head", "full"])
 
     heads = known.select("item_text").mapInArrow(run, "head string, full string").distinct().groupBy("head").count()
-    return {r["head"] for r in heads.where(F.col("count") > 2).collect()}
+    return {r["head"] for r in heads.where(F.col("count") > 1).collect()}
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -258,24 +272,23 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     blocks = max(1, -(-known.count() // ITEMS_AT_ONCE))
     openings = _shared_openings(known) if blocks > 1 else None
     texts = documents.where(F.length("text") > 0).select("doc_id", "text")
-    out = None
+    sent = []
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        rows = sorted({(r.item_id, r.item_text) for r in own.collect()})  # at most about ITEMS_AT_ONCE rows
-        sent = spark.sparkContext.broadcast(rows)
+        sent.append(spark.sparkContext.broadcast(sorted({(r.item_id, r.item_text) for r in own.collect()})))  # at most about ITEMS_AT_ONCE rows
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, cache = Items(sent.value, openings), {}
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(Items(sent[0].value, openings), {})] if blocks == 1 else None
+        for batch in batches:
+            words = [words_of(t, notebook=True) for t in batch.column(1).to_pylist()] if blocks > 1 else None
+            for block in range(blocks):  # one block's items in memory at a time
+                items, cache = held[0] if held else (Items(sent[block].value, openings), {})
                 for i in range(0, batch.num_rows, 1000):
-                    part = batch.slice(i, 1000)
-                    found = list(search_batch(items, part.column(1).to_pylist(), cache))
-                    ids = part.column(0).take(pa.array([d for d, _ in found], pa.int64()))
+                    found = list(search_batch(items, words[i : i + 1000] if words else batch.column(1).slice(i, 1000).to_pylist(), cache))
+                    ids = batch.column(0).take(pa.array([i + d for d, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([k for _, k in found], _arrow(kind_item))], names=["doc_id", "item_id"])
 
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return texts.mapInArrow(run, schema).distinct()
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

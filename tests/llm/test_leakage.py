@@ -79,3 +79,45 @@ def test_openings_are_shared_over_blocks(spark, monkeypatch):
     d = spark.createDataFrame([(1, opening), (2, rows[2][1])], "doc_id long, text string")
     e = spark.createDataFrame(rows, "item_id long, item_text string")
     assert sorted(map(tuple, leaked_items(d, e).collect())) == [(2, 2)]
+    # two items that share it are enough; one scan whatever the number of blocks
+    found = leaked_items(d, e.where("item_id in (1, 2)"))
+    assert sorted(map(tuple, found.collect())) == [(2, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def dynamic_programme(doc, item):
+    """Any passage of at least 12 words that begins and ends with equal words, with at most one edit in eight: all
+    beginnings, all lengths, full edit distances of what is between."""
+    for b in range(len(item)):
+        for a in range(len(doc)):
+            if doc[a] != item[b]:
+                continue
+            row = list(range(len(doc) - a))
+            for n, w in enumerate(item[b + 1 :], 2):
+                if n >= 12 and any(row[i] * 8 <= n and doc[a + 1 + i] == w for i in range(len(row) - 1)):
+                    return True
+                new = [n - 1]
+                for i, x in enumerate(doc[a + 1 :], 1):
+                    new.append(min(row[i - 1] + (x != w), row[i] + 1, new[-1] + 1))
+                row = new
+    return False
+
+
+def test_search_equals_a_full_dynamic_programme():
+    import random
+
+    random.seed(8)
+    item = [f"w{random.randint(0, 25)}" for _ in range(60)]
+    items = Items([(1, " ".join(item))])
+    seen = []
+    for _ in range(250):
+        a = random.randint(0, 30)
+        part = item[a : a + random.randint(9, 50)]
+        for _ in range(random.randint(0, 7)):
+            i = random.randrange(len(part))
+            part[i : i + 1] = random.choice([[], [f"x{i}"], [part[i], "y"], [f"w{random.randint(0, 25)}"]])
+        doc = [*random.choices(item, k=3), *part, *random.choices(["z", "w1", "w2"], k=4)]
+        want = dynamic_programme(doc, item)
+        seen.append(want)
+        assert [k for _, k in search_batch(items, [" ".join(doc)], {})] == [1] * want, (part, want)
+    assert 50 < sum(seen) < 220
