@@ -1,18 +1,20 @@
 """Personal information in free text: email addresses, phone numbers, identity numbers, street addresses, names.
 
-Candidates are spans that have the shape of one of the kinds (several kinds may claim a span). They are the
-nodes of a skip-chain conditional random field over each document, with the labels "nothing" and the five kinds:
-- node potentials: a log-linear sum of the features in `WEIGHTS` (shape, label before, words after, lexicon of
-  given names, whether a word is an ordinary one),
+Candidates are spans that have the shape of one of the kinds. They are the nodes of a skip-chain conditional random field
+over each document, with the labels "nothing" and the five kinds:
+- node potentials: a log-linear sum of a candidate's features (shape, label before, words around, lexicon of given names,
+  whether a word is an ordinary one),
 - chain potentials between neighbours that stand close together (a signature, a table row),
-- skip potentials between distant candidates with the same text, a common surname, or a name and the email
-  address that is made of it.
+- skip potentials between all candidates with the same text, surname or given name, or a name and the email address that is
+  made of it, however far apart. All candidates of such a group are tied to one node of the group, which takes messages from
+  each of them to each other.
 Loopy sum-product message passing (damped, `ROUNDS` rounds, all documents of a batch at once as arrays) gives the
 marginals; a candidate with a marginal of one half or more for a kind is reported. Overlaps go to the more
 certain, then the longer span.
 
-The weights are parameters set by hand: there are no labelled rows to fit them on. "Ordinary" words are
-those that a public tokenizer's vocabulary holds whole, so no list of words is kept here.
+The weights are fitted, by pseudo-likelihood, on `TRAINING_TEXTS` labelled texts that `personal_rows` makes of templates with
+the given names of the lexicon; no text of the corpus is used. "Ordinary" words are those that a public tokenizer's
+vocabulary holds whole, so no list of words is kept here.
 
 Positions are code points from 1 of the first letter, digit or plus sign, or of the backslash of the `\\uXXXX`
 escape that stands for it. Null and empty texts have no occurrences; whole texts are searched; repeated documents
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .personal_rows import labelled_texts
 from .tokenize import default_vocabulary
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -41,42 +44,38 @@ EMAIL, PHONE, ID, ADDRESS, NAME = range(1, 6)
 ROUNDS, DAMPING, CLOSE = 6, 0.3, 120
 MAX_NAMES = 200_000
 FREQUENT = 5000  # ranks of a byte-pair vocabulary below this are very frequent words
-WEIGHTS = {
-    "email": 5.0, "phone_shape": 3.0, "phone_label": 3.0, "phone_counter": -6.0,
-    "id_label": 5.0, "address": 3.5, "street_label": 2.0,
-    "name_full": 3.0, "name_ambiguous": -1.0, "name_unknown": -2.0, "name_cue": 4.0, "name_after": 1.5, "name_row": 4.5, "name_line": 3.0,
-    "name_single": -3.0, "name_single_signed": 6.0, "name_place": -6.0, "name_initial": -1.0,
-    "chain": 0.6, "skip": 1.5,
-}
+TRAINING_TEXTS, RIDGE = 1200, 0.5
 
 _U, _L = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĘĚĜĞĢĤĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŖŘŚŜŞŠŢŤŪŮŰŲŴŶŹŻŽ", "A-Za-zÀ-ÖØ-öø-ÿĀ-ɏ"
 _AT = r"(?:@|&#64;|&commat;|\\u0040|%40| ?[(\[{<] ?at ?[)\]}>] ?| at (?=[A-Za-z0-9-]+(?: dot |\.))| AT )"
 _DOT = r"(?:\.| ?[(\[{<] ?(?:dot|punkt|punto|point) ?[)\]}>] ?| dot | DOT )"
-_EMAIL = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w:@]|-\w)", re.I)
-_HAS_AT = re.compile(r"@|&#64;|\\u0040|%40|[(\[{<] ?at ?[)\]}>]| at [\w-]+ dot | AT [\w-]+ DOT ", re.I)
+_EMAIL = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%'~=+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w:@]|-\w)", re.I)
+_LOCAL = "._%'~=+-"
+_HAS_AT = re.compile(r"@|&#64;|\\u0040|%40|[(\[{<] ?at ?[)\]}>]|&commat;| at [\w.-]+(?: dot |\.)[A-Za-z]| AT [\w-]+ DOT ", re.I)
 _PHONE = re.compile(r"(?<![\w.,+/:-])(?<!\d )(?=[\d+(][\d+() .\-/]{5})(?:\+|\(?)\d+\)?(?:[ .\-/]?\(?\d+\)?)*(?:,? ?(?:ext\.?|extn\.?|x|Durchwahl|poste) ?\d{1,5})?(?![\w]|[.,-]\d)")
 _PHONE_LABEL = re.compile(r"(?:\b(?:tel|tél|phone|call|mobile|cell|fax|telefon|teléfono|llama(?:r)?(?: al)?|appel(?:er|ez)?(?: le)?|ruf|number is|ring|numéro)[.:]*\s*(?:at|al|me at|is|unter|le|:|=)*|\bT:?)[\s:=\"'\\]*$", re.I)
 _COUNTER = re.compile(r"(?:\b(?:lot|item|part no\.?|run|build|from|started|total|version|order|batch|isbn|port|id)|==|@)['\"\s:=]*$", re.I)
 _ID = re.compile(
-    r"\b(?:ssn|social security(?: (?:no|number))?|passport(?: (?:no|number))?|national id|id (?:no|number|card)|identity (?:no|number)|tax (?:no|id|number)"
+    r"\b(?:ssn|social security(?: (?:no|number))?|passport(?: (?:no|number))?|national[ _]id|id (?:no|number|card)|identity (?:no|number)|tax (?:no|id|number)"
     r"|person_?id|personal_?id|id_?number|\w*ausweis\w*|identificación|carnet|ni (?:no|number)|national insurance (?:no|number)|nino|dni|nie|nif|nir|insee|steuer-?id(?:nr)?|sozialversicherungsnummer|n[°º] de (?:s[ée]curit[ée] sociale|identidad)|pasaporte|passeport)\b"
-    r"(?:\.|\b(?: is| est| es| ist)\b|[\s:=\"'\\#]|nr\.?|n[°º])*((?=[A-Z \d.-]*\d)[A-Z\d](?:[ .-]?[A-Z\d])*?)(?=[\"'\\,;:)\n]|\.?(?:\s|$)(?![ ]?\d)|\.(?!\d)|$)", re.I)
-_ID_BODY = re.compile(r"(?:[A-Z]{1,2} ?\d(?:[ .-]?\d)*(?:[ -]?[A-Z])?|\d(?:[ .-]?\d)*(?:-?[A-Z])?)(?![\w])")
+    r"(?:\.|\b(?: is| was| est| était| es| era| ist| war)\b|[\s:=\"'\\#]|nr\.?|n[°º])*((?=[A-Z \d.-]*\d)[A-Z\d](?:[ .-]?[A-Z\d])*?)(?=[\"'\\,;:)\n]|\.?(?:\s|$)(?![ ]?\d)|\.(?!\d)|$)", re.I)
+_ID_BODY = re.compile(r"(?:[A-Z]\d{2}[A-Z\d]{5,9}|[A-Z]{1,2} ?\d(?:[ .-]?\d)*(?:[ -]?[A-Z])?|\d(?:[ .-]?\d)*(?:-?[A-Z])?)(?![\w])")
 _STREET = re.compile(
-    rf"(?<![\w.])(?:\d{{1,4}} ?[A-Za-z]?(?: bis| ter)?,? (?:[{_U}][{_L}'’]+\.? ){{1,4}}?(?:Lane|Street|St\.?|Close|Crescent|Road|Rd\.?|Avenue|Ave\.?|Drive|Dr\.?|Way|Court|Place|Terrace|Row|Hill|Square|Gardens|Boulevard|Blvd\.?)(?![\w])"
+    rf"(?<![\w.])(?:\d{{1,4}} ?[A-Za-z]?(?: bis| ter)?,? (?:[{_U}][{_L}'’]+\.? ){{1,4}}?(?:Lane|Street|St\.?|Close|Crescent|Road|Rd\.?|Avenue|Ave\.?|Drive|Dr\.?|Way|Court|Place|Terrace|Row|Hill|Square|Gardens|Parkway|Pkwy|Circle|Trail|Mews|Grove|Highway|Boulevard|Blvd\.?)(?![\w])"
     rf"|\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|av\.|bd|boulevard|impasse|all[ée]e|place|quai|chemin|route|cours|passage|square)(?: (?:de la|de l['’]|des|du|de|d['’]|la|le|les))? ?(?:[{_U}][{_L}'’-]+ ?){{1,3}}"
     rf"|(?:[{_U}][{_L}]+(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring)|(?:Am|An der|Im|Zum|Zur|Auf dem|In der) (?:[{_U}][{_L}]+ ?){{1,2}}) ?\d{{1,4}} ?[a-z]?(?![\w])"
+    rf"|(?:Via|Viale|Piazza|Corso|Largo|Rua) (?:(?:dei|delle|della|del|di|da|do|dos) )?(?:[{_U}][{_L}]+ )*(?:[{_U}][{_L}]+),? \d{{1,4}}(?![\w])"
     rf"|(?:Calle|C/|Avda?\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Carrera|Ronda|Travesía|Callejón)(?: (?:de la|de los|de las|del|de|la|el))? (?:[{_U}][{_L}]+ )*(?:[{_U}][{_L}]+),? \d{{1,4}})"
 )
 #: Literal parts of every street and every label of an identity number: texts without any of them are not searched.
 _STREET_PARTS = (
     " Lane", " Street", " St", " Close", " Crescent", " Road", " Rd", " Ave", " Drive", " Dr", " Way", " Court", " Place", " Terrace", " Row", " Hill",
-    " Square", " Gardens", " Boulevard", " Blvd", " rue ", " avenue ", " av. ", " bd ", " boulevard ", " impasse ", "allée ", "allee ", " place ", " quai ", " chemin ",
+    " Square", " Gardens", " Parkway", " Pkwy", " Circle", " Trail", " Mews", " Grove", " Highway", "Via ", "Viale ", "Piazza ", "Corso ", "Largo ", "Rua ", " Boulevard", " Blvd", " rue ", " avenue ", " av. ", " bd ", " boulevard ", " impasse ", "allée ", "allee ", " place ", " quai ", " chemin ",
     " route ", " cours ", " passage ", " square ", "straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm", "ring ", "Am ", "An der ", "Im ", "Zum ",
     "Zur ", "Auf dem ", "In der ", "Calle", "C/", "Avda", "Avd.", "Ava.", "Avenida", "Plaza", "Pza.", "Paseo", "Camino", "Carrera", "Ronda", "Travesía", "P.º",
 )
 _ID_PARTS = (
-    "ssn", "security", "passport", "national i", "id no", "id num", "id card", "identity", "tax no", "tax id", "tax num", "nino", "dni", "nie", "nif", "nir", "insee",
+    "ssn", "security", "passport", "national", "id no", "id num", "id card", "identity", "tax no", "tax id", "tax num", "nino", "dni", "nie", "nif", "nir", "insee",
     "steuer", "sozialv", "sécurité", "securité", "sécurite", "securite", "identidad", "pasaporte", "passeport", "person", "id_num", "idnum", "ausweis", "identificación", "carnet", "ni no", "ni num",
 )
 #: What may follow a street up to the end of an address.
@@ -89,7 +88,7 @@ _TITLE = {"dr", "ms", "mr", "mrs", "miss", "frau", "herr", "mme", "mlle", "m", "
 _CUE = re.compile(
     r"(?:\b(?:by|author|autor|autora|auteur|owner|maintainer|operator|reviewer|reviewed-by|signed-off-by|contact|cc|thanks to|merci à|gracias a|danke an|dank an|came from|notes of|par|por|von|best|lg|regards|cheers|hi|hello|dear|hallo|liebe[r]?|bonjour|hola|name|person|user|patient|employee|attn)\b[,.]?|—|–)(?: (?:Dr|Ms|Mrs|Mr|Frau|Herr|Prof|Mme|M|Sra|Sr)\.?)?\s*[:=]?\s*(?:\\?[\"'])?\s*$|(?:^|[\s(])(?:Dr\.|Ms\.?|Mrs\.?|Mr\.?|Frau|Herr|Prof\.|Mme|Sra\.?|Sr\.)\s+$", re.I)
 _SIGNED = re.compile(r"(?:—|–|\b(?:best|lg|regards|cheers|thanks|saludos|cordialement|bises|grüße|gruß|vg|love|sincerely),?)\s*(?:\\n)?[\s\"#,]*$", re.I)
-_AFTER = re.compile(r"^ (?:asked|hat |wrote|said|for the review|in our group|last week|on this|pour la relecture|por la ayuda|für die Hinweise|a |pidió|propuso|<)")
+_AFTER = re.compile(r"^ (?:<|(?:asked|said|says|wrote|told|sent|found|fixed|noted|added|suggested|proposed|reported|hat|schrieb|sagte|fragte|a|ont|ha|dijo|pidió|propuso)\b)")
 _ROW = re.compile(r"^[\s#\"]*\d+ {2,}$")
 _LINE_START = re.compile(r"^(?:\s*\.\.\.:)?(?:In \[[\d* ]*\]:)?[\s#\">*-]*$")
 _LINE_END = re.compile(r"^[.,]?(?:\\n)?(?:\",?|[\]}])*\s*$")
@@ -127,14 +126,16 @@ class Candidates:
         self.doc: list[int] = []
         self.start: list[int] = []
         self.end: list[int] = []
-        self.scores: list[dict[int, float]] = []
+        self.label: list[int] = []
+        self.features: list[list[str]] = []
         self.keys: list[tuple] = []
 
-    def add(self, doc: int, start: int, end: int, scores: dict[int, float], *keys) -> None:
+    def add(self, doc: int, start: int, end: int, label: int, features: list[str], *keys) -> None:
         self.doc.append(doc)
         self.start.append(start)
         self.end.append(end)
-        self.scores.append(scores)
+        self.label.append(label)
+        self.features.append(features)
         self.keys.append(keys)
 
 
@@ -157,12 +158,11 @@ def unescaped(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def _phone_score(text: str, before: str) -> float | None:
-    w = WEIGHTS
+def _phone_features(text: str, before: str) -> list[str]:
     body = re.split(r",? ?(?:ext|x|Durchwahl|poste)", text)[0]
     digits = re.sub(r"\D", "", body.replace("(0)", ""))
     if not 7 <= len(digits) <= 15:
-        return None
+        return []
     label = bool(_PHONE_LABEL.search(before))
     plus = text.startswith("+")
     grouped = len(re.findall(r"\d+", body)) > 1
@@ -174,26 +174,36 @@ def _phone_score(text: str, before: str) -> float | None:
         or bool(re.fullmatch(r"0\d(?:[ .]\d\d){4}", body))
     )
     if not shape and not label:
-        return None
+        return []
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", body) or (not shape and "." in body):
-        return None
-    return w["phone_shape"] * shape + w["phone_label"] * label + w["phone_counter"] * (not plus and bool(_COUNTER.search(before)))
+        return []
+    said = {"phone_shape": shape, "phone_label": label, "phone_plus": plus, "phone_counter": not plus and bool(_COUNTER.search(before))}
+    return ["phone", *(f for f, v in said.items() if v)]
 
 
 def find(doc: int, text: str, lex: Lexicon, c: Candidates) -> None:
     """Candidates of one text, with their features."""
-    w = WEIGHTS
     blocked: list[tuple[int, int]] = []
     done = 0
     for at in _HAS_AT.finditer(text):
         if at.end() <= done:
             continue
-        left = max(done, at.start() - 80)
-        m = next((m for m in _EMAIL.finditer(text, left, at.end() + 160) if m.end() >= at.end()), None)
-        if m is None or m.start() > at.start() or (m.start() and text[m.start() - 1] == "/"):
+        left = at.start()
+        left -= left > done and text[left - 1] == " "
+        while left > done and (text[left - 1] in _LOCAL or (text[left - 1].isascii() and text[left - 1].isalnum())):
+            left -= 1
+        m = None
+        for p in range(left, at.start()):
+            if text[p].isalnum() and (p == 0 or text[p - 1] not in "_.+@-" and not text[p - 1].isalnum()):
+                m = _EMAIL.match(text, p)
+                if m and m.end() >= at.end():
+                    break
+                m = None
+        if m is None or (m.start() and text[m.start() - 1] == "/"):
             continue
         local = re.split(_AT, m[0], maxsplit=1, flags=re.I)[0]
-        c.add(doc, m.start(), m.end(), {EMAIL: w["email"]}, ("t", m[0].casefold()), *(("e", p) for p in re.split(r"[._+\d-]+", local.lower()) if len(p) > 3))
+        hidden = ["email_hidden"] if "@" not in m[0] else []
+        c.add(doc, m.start(), m.end(), EMAIL, ["email", *hidden], ("t", m[0].casefold()), *(("e", p) for p in re.split(r"[._+\d-]+", local.lower()) if len(p) > 3))
         blocked.append(m.span())
         done = m.end()
     if any(x in text for x in _STREET_PARTS):
@@ -203,13 +213,13 @@ def find(doc: int, text: str, lex: Lexicon, c: Candidates) -> None:
             end = rest.end() if rest else m.end()
             before = text[max(0, start - 25) : start]
             label = bool(re.search(r"(?:address|adresse|anschrift|direcci[oó]n|return to|ship\b.*to|site|stands at|steht in|enviar a|envoyer au)\W*$", before, re.I))
-            c.add(doc, start, end, {ADDRESS: w["address"] + w["street_label"] * label}, ("t", m[0].casefold()))
+            c.add(doc, start, end, ADDRESS, ["address", *["street_label"] * label, *["address_town"] * (end > m.end())], ("t", m[0].casefold()))
             blocked.append((start, end))
     low = text.lower()
     for m in _ID.finditer(text) if any(x in low for x in _ID_PARTS) else ():
         body = _ID_BODY.match(text, m.start(1))
         if body and len(re.sub(r"[^A-Za-z0-9]", "", body[0])) >= 7:
-            c.add(doc, body.start(), body.end(), {ID: w["id_label"]}, ("t", re.sub(r"\W", "", body[0])))
+            c.add(doc, body.start(), body.end(), ID, ["id_label"], ("t", re.sub(r"\W", "", body[0])))
             blocked.append(body.span())
     blocked.sort()
     starts = [b[0] for b in blocked]
@@ -222,15 +232,15 @@ def find(doc: int, text: str, lex: Lexicon, c: Candidates) -> None:
         if m.end() - m.start() < 7 or inside(*m.span()):
             continue
         before = text[max(0, m.start() - 30) : m.start()].rpartition("\n")[2]
-        s = _phone_score(m[0], before)
-        if s is not None:
+        features = _phone_features(m[0], before)
+        if features:
             start = m.start() + (m[0][0] == "(")
-            c.add(doc, start, m.end(), {PHONE: s}, ("t", re.sub(r"\D", "", m[0])))
+            c.add(doc, start, m.end(), PHONE, features, ("t", re.sub(r"\D", "", m[0])))
     _find_names(doc, text, lex, c, inside, [b for a, b in blocked])
 
 
 def _find_names(doc: int, text: str, lex: Lexicon, c: Candidates, inside, block_ends: list[int]) -> None:
-    w, given = WEIGHTS, lex.given
+    given = lex.given
     for m in _RUN.finditer(text):
         parts = [(p[0].strip(), m.start() + p.start() + (len(p[0]) - len(p[0].lstrip()))) for p in _PIECE.finditer(m[0])]
         words = [(t, a) for t, a in parts if t != "," and not t[0].islower()]
@@ -253,24 +263,22 @@ def _find_names(doc: int, text: str, lex: Lexicon, c: Candidates, inside, block_
             previous = text[max(0, line - 40) : max(0, line - 1)].rpartition("\n")[2]
             signed = bool(_SIGNED.search(before)) and bool(_LINE_END.match(after))
             signed = signed or (alone and (bool(_SIGNED.search(previous)) or "---" in previous))
+            known = first.casefold() in given
+            said = {"name_cue": cue, "name_after": bool(_AFTER.match(after)), "name_row": row, "name_signed": signed, "name_line": alone}
             if kind == "single":
                 heading = bool(re.search(r"#\s*$", whole)) and lex.ambiguous(first)
-                s = w["name_single"] + w["name_single_signed"] * (signed or (alone and first.casefold() in given and not heading)) + w["name_row"] * row
-                s += w["name_cue"] * (cue and not lex.ambiguous(first)) + w["name_single"] * (first.casefold() not in given and not signed)
-                if s < -4:
-                    continue
+                said |= {"single": True, "single_unknown": not known, "single_ambiguous": lex.ambiguous(first), "single_heading": heading}
+                said |= {"single_cue": cue and not lex.ambiguous(first), "single_signed": signed or (alone and known and not heading)}
+            elif kind == "full":
+                said |= {"full": True, "full_ambiguous": lex.ambiguous(first)}
+            elif kind == "initial":
+                said |= {"initial": True, "initial_bare": not cue}
             else:
-                s = w["name_full"] + w["name_cue"] * cue + w["name_after"] * bool(_AFTER.match(after)) + w["name_row"] * row + w["name_line"] * (signed or (alone and kind == "full"))
-                if kind == "full":
-                    s += w["name_ambiguous"] * lex.ambiguous(first)
-                elif kind == "initial":
-                    s += w["name_initial"] + (0 if cue else w["name_unknown"])
-                else:
-                    s += w["name_unknown"] + (0 if cue or row or signed else w["name_unknown"])
-                    s += w["name_place"] * any(0 <= start - b <= 12 for b in block_ends)
+                said |= {"unknown": True, "unknown_bare": not (cue or row or signed), "unknown_place": any(0 <= start - b <= 12 for b in block_ends)}
+            features = [f for f, v in said.items() if v]
             keys = [("s", last.casefold())] if last else []
             keys += [("e", p) for p in {_plain(first), _plain(last)} if len(p) > 3]
-            c.add(doc, start, end, {NAME: s}, ("t", text[start:end].casefold()), *keys)
+            c.add(doc, start, end, NAME, features, ("t", text[start:end].casefold()), *keys)
 
 
 def _maybe_signed(text: str, m: re.Match) -> bool:
@@ -331,39 +339,36 @@ def _spans(words: list[tuple[str, int]], text: str, lex: Lexicon) -> list[tuple[
     return out
 
 
-def marginals(c: Candidates) -> np.ndarray:
-    """Loopy belief propagation: the probability of each label at each node, (nodes, 1 + kinds)."""
-    n, k = len(c.doc), len(KINDS) + 1
-    unary = np.full((n, k), -30.0)
-    unary[:, 0] = 0.0
-    for i, s in enumerate(c.scores):
-        for label, v in s.items():
-            unary[i, label] = v
-    order = sorted(range(n), key=lambda i: (c.doc[i], c.start[i]))
-    edges, kinds = [], []
-    for a, b in pairwise(order):
-        if c.doc[a] == c.doc[b] and c.start[b] - c.end[a] <= CLOSE:
-            edges.append((a, b))
-            kinds.append(0)
+def _edges(c: Candidates) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Pairs of close neighbours, and groups of candidates that share a key."""
+    order = sorted(range(len(c.doc)), key=lambda i: (c.doc[i], c.start[i]))
+    chain = [(a, b) for a, b in pairwise(order) if c.doc[a] == c.doc[b] and c.start[b] - c.end[a] <= CLOSE]
     groups = defaultdict(list)
     for i in order:
-        for key in c.keys[i]:
+        for key in set(c.keys[i]):
             groups[(c.doc[i], key)].append(i)
-    for g in groups.values():  # each node with the next of its group: equal texts hang together in a chain
-        for a, b in pairwise(g):
-            edges.append((a, b))
-            kinds.append(1)
+    # several keys may tie the same candidates: once is enough
+    return chain, [list(g) for g in dict.fromkeys(tuple(g) for g in groups.values() if len(g) > 1)]
+
+
+def marginals(c: Candidates, weights: dict[str, float]) -> np.ndarray:
+    """Loopy belief propagation: the probability of each label at each node, (nodes, 1 + kinds)."""
+    n, k = len(c.doc), len(KINDS) + 1
+    chain_, groups = _edges(c)
+    # a group's node has the labels "nothing" and, for all kinds, the first one
+    unary = np.full((n + len(groups), k), -30.0)
+    unary[:, 0] = 0.0
+    unary[n:, 1] = 0.0
+    for i, (label, features) in enumerate(zip(c.label, c.features)):
+        unary[i, label] = sum(weights.get(f, 0.0) for f in features)
+    edges = chain_ + [(i, n + g) for g, members in enumerate(groups) for i in members]
     if not edges:
         e = np.exp(unary - unary.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
-    some = np.ones((k, k)) - np.eye(k, dtype=float)
-    some[0, :] = some[:, 0] = 0
-    np.fill_diagonal(some[1:, 1:], 1)
-    chain = WEIGHTS["chain"] * some  # both are something
-    agree = np.zeros((k, k))
-    agree[1:, 1:] = WEIGHTS["skip"]
-    agree[0, 0] = WEIGHTS["skip"]
-    pot = np.stack([chain, agree])[np.array(kinds)]
+    both, agree = np.zeros((k, k)), np.zeros((k, k))
+    both[1:, 1:] = weights.get("chain", 0.0)  # both are something
+    agree[1:, 1:] = agree[0, 0] = weights.get("skip", 0.0)
+    pot = np.stack([both, agree])[np.repeat([0, 1], [len(chain_), len(edges) - len(chain_)])]
     a, b = np.array(edges).T
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
     pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
@@ -380,11 +385,53 @@ def marginals(c: Candidates) -> np.ndarray:
         msg = DAMPING * msg + (1 - DAMPING) * new
     belief = unary.copy()
     np.add.at(belief, dst, msg)
+    belief = belief[:n]
     e = np.exp(belief - belief.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def occurrences(texts: list[str | None], lex: Lexicon) -> Iterator[tuple[int, str, int, int]]:
+def made_texts(lex: Lexicon, texts: int, seed: int) -> list[tuple[str, list[tuple[int, str]]]]:
+    """Labelled texts with the lexicon's names."""
+    given = sorted(lex.given) or ["mara"]
+    capitals = sorted(w.decode()[1:] for w, rank in lex.vocabulary.items() if rank >= 2 * FREQUENT and re.fullmatch(rb" [A-Z][a-z]{3,6}", w))
+    return labelled_texts(given, [g for g in given if lex.ambiguous(g)], lex.ordinary, capitals, texts, seed)
+
+
+def fitted_weights(lex: Lexicon, texts: int = TRAINING_TEXTS, seed: int = 0) -> dict[str, float]:
+    """The weights of all features and of the chain and skip potentials that make the labels of the made texts most likely, each
+    given its neighbours' labels (pseudo-likelihood, with a ridge)."""
+    rows = made_texts(lex, texts, seed)
+    c = Candidates()
+    for d, (text, _) in enumerate(rows):
+        find(d, text, lex, c)
+    gold = {(d, start, kind) for d, (_, spans) in enumerate(rows) for start, kind in spans}
+    y = np.array([(d, a, KINDS[k - 1]) in gold for d, a, k in zip(c.doc, c.start, c.label)], float)
+    names = sorted({f for features in c.features for f in features}) + ["chain", "skip"]
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(y), len(names)))
+    for i, features in enumerate(c.features):
+        x[i, [at[f] for f in features]] = 1
+    chain, groups = _edges(c)
+    for a, b in chain:
+        x[a, at["chain"]] += y[b]
+        x[b, at["chain"]] += y[a]
+    for g in groups:
+        g = np.array(g)
+        others = (2 * y[g] - 1).sum() - (2 * y[g] - 1)
+        x[g, at["skip"]] += np.sign(others)
+    w = np.zeros(len(names))
+    for _ in range(30):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - RIDGE * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), slope)
+        w += step
+        if np.abs(step).max() < 1e-4:
+            break
+    w[-2:] = np.maximum(w[-2:], 0)
+    return dict(zip(names, w.tolist()))
+
+
+def occurrences(texts: list[str | None], lex: Lexicon, weights: dict[str, float]) -> Iterator[tuple[int, str, int, int]]:
     """(place of the text, kind, start, end) in code points from 0, end exclusive, of the original texts."""
     c, escapes = Candidates(), {}
     for d, text in enumerate(texts):
@@ -395,7 +442,7 @@ def occurrences(texts: list[str | None], lex: Lexicon) -> Iterator[tuple[int, st
             find(d, plain, lex, c)
     if not c.doc:
         return
-    p = marginals(c)
+    p = marginals(c, weights)
     label = np.argmax(p, 1)
     sure = [i for i in range(len(label)) if label[i] and p[i, label[i]] >= 0.5]
     sure.sort(key=lambda i: (c.doc[i], -round(p[i, label[i]], 3), c.start[i] - c.end[i], c.start[i]))
@@ -416,13 +463,13 @@ def _lexicon(spark, names: DataFrame, vocabulary: str | None):
     if len(rows) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} given names")
     with open(vocabulary or default_vocabulary(), "rb") as f:
-        return spark.sparkContext.broadcast((sorted(r.n for r in rows), f.read()))
+        names, ranks = sorted(r.n for r in rows), f.read()
+    return spark.sparkContext.broadcast((names, ranks, fitted_weights(_load(names, ranks))))
 
 
-def _load(sent) -> Lexicon:
+def _load(names: list[str], ranks: bytes) -> Lexicon:
     import base64
 
-    names, ranks = sent
     return Lexicon(names, {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a})
 
 
@@ -434,9 +481,10 @@ def personal_information(documents: DataFrame, names: DataFrame, vocabulary: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _load(sent.value)
+        names, ranks, weights = sent.value
+        lex = _load(names, ranks)
         for batch in batches:
-            found = list(occurrences(batch.column(1).to_pylist(), lex))
+            found = list(occurrences(batch.column(1).to_pylist(), lex, weights))
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             cols = [pa.array([f[1] for f in found], pa.string()), pa.array([f[2] + 1 for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([ids, *cols], names=schema.names)
@@ -450,11 +498,12 @@ def masked_texts(documents: DataFrame, names: DataFrame, vocabulary: str | None
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _load(sent.value)
+        names, ranks, weights = sent.value
+        lex = _load(names, ranks)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             spans = defaultdict(list)
-            for d, kind, a, b in occurrences(texts, lex):
+            for d, kind, a, b in occurrences(texts, lex, weights):
                 spans[d].append((a, b, kind))
             for d, own in spans.items():
                 for a, b, kind in sorted(own, reverse=True):
