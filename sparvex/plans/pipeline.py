@@ -16,9 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The periods with their attributes, as a JSON array of (attribute, value) pairs sorted by attribute."""
+    """The periods with their attributes, as sorted texts "attribute=value"."""
     h = attribute_history(table(spark, sf_dir, "vector_versions"))
-    return h.select("coll_name", "id", "valid_from", "valid_to", F.to_json(F.map_entries("attrs")).alias("attrs"))
+    plain = lambda text: F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
+    one = lambda e: F.concat(plain(F.concat(F.lit('"'), e["key"], F.lit('"'))), F.lit("="), F.coalesce(plain(e["value"]), F.lit("null")))
+    return h.select("coll_name", "id", "valid_from", "valid_to", F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), one)), "|").alias("attrs"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +61,24 @@ _STATES = """
       'x': CASE WHEN j.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN (j.atom::DOUBLE)::VARCHAR WHEN j.type IN ('OBJECT', 'ARRAY') THEN '' ELSE j.atom::VARCHAR END}))::VARCHAR AS state
     FROM good g, json_tree(g.m) j WHERE g.m IS NOT NULL GROUP BY g.obs_id),
   best AS (
-    SELECT coll_name, id, t, state FROM good LEFT JOIN flat USING (obs_id)
+    SELECT coll_name, id, t, state, m FROM good LEFT JOIN flat USING (obs_id)
     QUALIFY row_number() OVER (PARTITION BY coll_name, id, t ORDER BY v DESC, m IS NOT NULL DESC, state DESC) = 1),
   differ AS (
     SELECT *, lag(state) OVER (PARTITION BY coll_name, id ORDER BY t) AS before FROM best WHERE state IS NOT NULL)
-  SELECT coll_name, id, t AS valid_from, coalesce(lead(t) OVER (PARTITION BY coll_name, id ORDER BY t), -1) AS valid_to
+  SELECT coll_name, id, t AS valid_from, coalesce(lead(t) OVER (PARTITION BY coll_name, id ORDER BY t), -1) AS valid_to{attrs}
   FROM differ WHERE before IS NULL OR before <> state"""
+_KINDS = "('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE')"
+_PLAIN = "regexp_replace((({x} ->> '$')::DOUBLE)::VARCHAR, '\\.0$', '')"
+_INNER = f"""CASE WHEN json_type(json_extract(v, '$."' || i || '"')) IN {_KINDS} THEN {_PLAIN.format(x="json_extract(v, '$.\"' || i || '\"')")}
+      ELSE json_extract(v, '$."' || i || '"')::VARCHAR END"""
+_VALUE = f"""CASE WHEN json_type(v) IN {_KINDS} THEN {_PLAIN.format(x="v")}
+    WHEN json_type(v) = 'OBJECT' THEN '{{{{' || array_to_string(list_sort(list_transform(json_keys(v), lambda i: '"' || i || '":' || {_INNER})), ',') || '}}}}' ELSE v ->> '$' END"""
+_ATTRS = f""", array_to_string(list_sort(list_transform(list_transform(list_distinct(json_keys(m)), lambda k: {{{{'k': k, 'v': json_extract(m, '$."' || k || '"')}}}}),
+  lambda e: e.k || '=' || coalesce(list_transform([e.v], lambda v: {_VALUE})[1], 'null'))), '|') AS attrs""".replace("{{", "{").replace("}}", "}")
 
 SQL = {
-    "p1_found": _STATES,
+    "p1_found": _STATES.replace("{attrs}", ""),
+    "p1_history": _STATES.replace("{attrs}", _ATTRS),
     "p5_found": f"SELECT coll_name, id, entry_no FROM ({_LIVE})",
     "p5_state": f"""
 WITH live AS ({_LIVE}),
