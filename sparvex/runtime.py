@@ -32,7 +32,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's own setting that drops the shuffle files of a plan once it has run.
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` in the shared checkpoint folder and cut its lineage. The shuffle files behind it are dropped then."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_DROP, before) if before is not None else spark.conf.unset(_DROP)
