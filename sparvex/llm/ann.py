@@ -60,7 +60,7 @@ class Budget:
 
     least: int = 16
     share: float = 0.15
-    rerank: int = 64
+    rerank: int = 96
 
 
 @dataclass
