@@ -11,11 +11,12 @@ Plan
    collection; a list with more rows is split into parts, and a region with many visitors into slices of them.
 3. Every direction goes to its list's region and visits other regions that hold lists it probes: `VISITS` regions at most,
    its own included, so a vector is sent at most so often and looks at a bounded number of others.
+   Which of a region's lists it probes is sent with it, so a region needs no others.
    Probes: all lists with a cell whose centre has a cosine of `DENSE` or more, so that a large dense group is
    searched whole; for vectors with few rows (`ENOUGH`) in such cells also a share of the nearest ones (`Budget`), within `MAX_PROBES`.
-4. In a region, its members are coded; tables of sixteen partial scores per block, combined to one table per byte
-   of two four-bit codes, are summed over the codes of a list for a batch of queries. The best of the region (`Budget`) are
-   scored again exactly (float64).
+4. In a region, its members are coded, and the vectors that the codes stand for are multiplied with a batch of queries, list
+   by list. The sums are those of tables of partial scores, but a matrix product adds them up in half the time of look-ups in
+   numpy, and without rounding them to sixteen bits. The best of the region (`Budget`) are scored again exactly (float64).
 5. The regions' results of a query are merged; ids of copies are put in; ties go to the smaller id.
 
 All rows are indexed and all rows are queries. Null, wrong, zero and NaN values never come this far
@@ -28,7 +29,7 @@ fills more than VISITS regions.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +164,29 @@ def cell_of(m: Model, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
     return out
 
 
+def _choose_numbers(r: np.ndarray, u: np.ndarray, words: np.ndarray, eta: float, passes: int) -> np.ndarray:
+    """`_choose` for blocks of one dimension, where the loss is a parabola: its best word is the one nearest to the lowest point."""
+    r, u = np.ascontiguousarray(r[:, :, 0].T), np.ascontiguousarray(u[:, :, 0].T)
+    order = np.argsort(words[:, :, 0], axis=1, kind="stable")
+    ascending = np.take_along_axis(words[:, :, 0], order, 1)
+    middle = (ascending[:, 1:] + ascending[:, :-1]) / 2
+    at = np.stack([(x > m[:, None]).sum(0, dtype=np.uint8) for m, x in zip(middle, r)])
+    error = r - np.take_along_axis(ascending, at, 1)
+    along = (error * u).sum(0)
+    pull = (eta - 1) * u / (1 + (eta - 1) * u**2)
+    for _ in range(passes):
+        for b in range(len(r)):
+            rest = along - error[b] * u[b]
+            at[b] = (r[b] + pull[b] * rest > middle[b][:, None]).sum(0, dtype=np.uint8)
+            error[b] = r[b] - ascending[b][at[b]]
+            along = rest + error[b] * u[b]
+    return np.take_along_axis(order, at, 1).T.astype(np.uint8)
+
+
 def _choose(r: np.ndarray, u: np.ndarray, words: np.ndarray, eta: float, passes: int) -> np.ndarray:
     """Codes (rows, blocks) that lower the anisotropic loss, by coordinate descent over the blocks."""
+    if r.shape[2] == 1:
+        return _choose_numbers(r, u, words, eta, passes)
     n, blocks = len(r), r.shape[1]
     square = (words**2).sum(2)
     codes = np.empty((n, blocks), np.uint8)
@@ -262,9 +284,12 @@ def probes(m: Model, x: np.ndarray, budget: Budget = Budget()) -> tuple[np.ndarr
     s = x @ m.centres.T
     own, k = np.argmax(s, 1), s.shape[1]
     many = min(k, max(budget.least, int(np.ceil(budget.share * k))), MAX_PROBES)
-    c = x @ _directions(m.means).T
-    inside = np.maximum.reduceat(c, np.searchsorted(m.cells, np.arange(k)), axis=1)
-    row, cell = np.divmod(np.flatnonzero(c >= DENSE), c.shape[1])
+    c = _directions(m.means) @ x.T  # a row per cell: `reduceat` over short runs of columns is slow
+    inside = np.empty((k, len(x)), np.float32)
+    for one, cells in enumerate(np.split(c, np.searchsorted(m.cells, np.arange(1, k)))):
+        cells.max(0, out=inside[one])
+    inside = np.ascontiguousarray(inside.T)
+    cell, row = np.divmod(np.flatnonzero(c >= DENSE), len(x))
     held = np.bincount(row, m.counts[cell], len(x))
     dense = held >= ENOUGH
     mask = (inside >= DENSE) | (~dense[:, None] & (s >= -np.partition(-s, many - 1, axis=1)[:, many - 1 : many]))
@@ -291,27 +316,14 @@ def visits(m: Model, own: np.ndarray, mask: np.ndarray, near: np.ndarray) -> tup
     return asks, mask & asks[:, m.regions]
 
 
-def _tables(m: Model, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a batch: 16-bit tables (bytes of two codes, 256, queries), and the step and base that give scores back.
-
-    The parallel parts of a residual cancel over the blocks, so the entries need more than eight bits.
-    """
-    t = np.einsum("bwd,nbd->bwn", m.words, _blocks(q), optimize=True)
-    low = t.min(1, keepdims=True)
-    step = np.maximum((t.max(1) - low[:, 0]).max(0), 1e-12) / (65535 // len(t) - 1)
-    t = ((t - low) / step + 0.5).astype(np.uint16)
-    pair = t[0::2, None, :, :] + t[1::2, :, None, :]
-    return pair.reshape(len(t) // 2, 256, -1), step.astype(np.float32), low[:, 0].sum(0)
-
-
-def _scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Sums of table entries, (rows, queries); codes: (bytes, rows)."""
-    total = np.take(tables[0], codes[0], axis=0, mode="clip")
-    part = np.empty_like(total)
-    for j in range(1, len(tables)):
-        np.take(tables[j], codes[j], axis=0, out=part, mode="clip")
-        total += part
-    return total
+def decode(m: Model, codes: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The vectors (float32) that codes stand for: words of the code book, brought to the size of the cell, around its mean."""
+    out = np.empty((len(codes), len(m.words), WIDTH), np.float32)
+    even = np.arange(0, len(m.words), 2)
+    out[:, 0::2], out[:, 1::2] = m.words[even, codes & 15], m.words[even + 1, codes >> 4]
+    out = out.reshape(len(codes), -1)[:, : m.means.shape[1]] * sizes[cells, None]
+    out += m.means[cells]
+    return out
 
 
 def _batches(own: np.ndarray, dense: np.ndarray) -> list[np.ndarray]:
@@ -340,8 +352,8 @@ def search_region(
     x: the region's unit vectors (float64) with their cells and codes; sizes: the residual size of each cell; q: the queries
     (float64), q_self: a query's own index in x or -1; q_probe: (queries, lists) mask; dense: which queries are in dense places.
 
-    Scores stay sums of 16-bit table entries. A query's worst kept score is turned into the least sum that a row of each cell
-    must have, so rows that can't come in cost a comparison; the others are collected until `rerank` of them are chosen.
+    The rows that the codes stand for are built once for all queries, so the scores of a batch with a block of rows are one matrix
+    product. Rows below a query's worst kept score cost a comparison; the others are collected until `rerank` of them are chosen.
     """
     order = np.argsort(cells, kind="stable")
     lists = m.cells[cells[order]]
@@ -349,10 +361,8 @@ def search_region(
     ends = np.append(first[1:], len(order))
 
     def block(a: int, b: int):
-        """Rows a to b of the order: their lists (numbers in `used`), rows, codes, cells and the cells' runs."""
-        rows = order[a:b]
-        here, starts = np.unique(cells[rows], return_index=True)
-        return np.unique(np.searchsorted(used, m.cells[here])), rows, np.ascontiguousarray(codes[rows].T).astype(np.intp), here, np.diff(np.append(starts, len(rows)))
+        """Rows a to b of the order, and their lists (numbers in `used`)."""
+        return np.unique(np.searchsorted(used, lists[a:b])), a, b
 
     # list by list for queries that look into few, and large blocks for the others
     by_list = [block(i, min(i + _BLOCK, b)) for a, b in zip(first, ends) for i in range(a, b, _BLOCK)]
@@ -362,10 +372,11 @@ def search_region(
     if not len(used) or not len(q):
         return found, score
     near = q32 @ m.centres[used].T
+    coded = decode(m, codes[order], cells[order], sizes)
     room = 2 * budget.rerank + _BLOCK
     for batch in _batches(np.argmax(near, 1), np.ones(len(q), bool) if dense is None else dense):
         n = len(batch)
-        tables, step, base = _tables(m, q32[batch])
+        asking = q32[batch]
         best, index = np.full((n, room), -np.inf, np.float32), np.full((n, room), -1, np.int64)
         count, worst = np.zeros(n, np.int64), np.full(n, -np.inf, np.float32)
         probed = q_probe[np.ix_(batch, used)]
@@ -384,26 +395,19 @@ def search_region(
             worst[which] = best[which, : budget.rerank].min(1)  # -inf while they are fewer
 
         wide = 2 * (ask > 0).sum() > len(used)
-        for _, rows, some, here, runs in sorted((b for b in (large if wide else by_list) if ask[b[0]].any()), key=lambda b: -close[b[0]].max()):
-            # all queries of the batch: to copy the tables of some would cost more than to scan for all
-            s = _scan(tables, some)
-            offset = m.means[here] @ q32[batch].T
+        for _, a, b in sorted((b for b in (large if wide else by_list) if ask[b[0]].any()), key=lambda b: -close[b[0]].max()):
+            # all queries of the batch: to copy some would cost more than to score all
+            s, rows = asking @ coded[a:b].T, order[a:b]
             if not count.any():  # the first block: nothing to compare with yet
-                value = (s * step + base) * np.repeat(sizes[here], runs)[:, None] + np.repeat(offset, runs, axis=0)
-                best[:, : len(rows)], index[:, : len(rows)] = value.T, rows
+                best[:, : len(rows)], index[:, : len(rows)] = s, rows
                 count[:] = len(rows)
                 choose(np.arange(n))
                 continue
-            least = ((worst - offset) / sizes[here, None] - base) / step
-            least = np.clip(least, 0, 65535).astype(np.uint16)
-            flat = np.flatnonzero(s >= np.repeat(least, runs, axis=0))
+            flat = np.flatnonzero(s >= worst[:, None])
             if not len(flat):
                 continue
-            r, c = np.divmod(flat, n)
-            cell = np.repeat(np.arange(len(here)), runs)[r]
-            value = (s.ravel()[flat] * step[c] + base[c]) * sizes[here[cell]] + offset[cell, c]
-            by_query = np.argsort(c, kind="stable")
-            r, c, value = rows[r[by_query]], c[by_query], value[by_query]
+            c, r = np.divmod(flat, len(rows))
+            r, value = rows[r], s.ravel()[flat]
             added = np.bincount(c, minlength=n)
             slot = count[c] + np.arange(len(c)) - (np.cumsum(added) - added)[c]
             best[c, slot], index[c, slot] = value, r
@@ -446,7 +450,33 @@ def fit_models(keyed: DataFrame, fitted: Callable = fit) -> dict:
     return {r.coll_name: pickle.loads(r.model) for r in rows}
 
 
-_PLACED = "coll_name string, region int, member boolean, asks boolean, dir_key binary, vec_values array<float>, ids array<string>"
+_PLACED = "coll_name string, region int, member boolean, asks boolean, dense boolean, looks binary, dir_key binary, vec_values array<float>, ids array<string>"
+
+
+def _first_units(m: Model) -> np.ndarray:
+    """The first unit of each region."""
+    return np.cumsum(m.parts * m.slices) - m.parts * m.slices
+
+
+def part_of(m: Model, region: int) -> Model:
+    """The model of one region: its lists and their cells, numbered from 0."""
+    lists = np.flatnonzero(m.regions == region)
+    cells = np.flatnonzero(m.regions[m.cells] == region)
+    one = slice(region, region + 1)
+    return replace(
+        m, centres=m.centres[lists], cells=np.searchsorted(lists, m.cells[cells]), means=m.means[cells], counts=m.counts[cells],
+        regions=np.zeros(len(lists), int), parts=m.parts[one], slices=m.slices[one],
+    )
+
+
+def _looks(m: Model, mask: np.ndarray, row: np.ndarray, unit_: np.ndarray) -> pa.Array:
+    """For each row sent to a unit, which of the lists of the unit's region it probes, as bits."""
+    region = np.searchsorted(_first_units(m), unit_, "right") - 1
+    out = np.empty(len(row), object)
+    for one in np.unique(region):
+        here = np.flatnonzero(region == one)
+        out[here] = [b.tobytes() for b in np.packbits(mask[np.ix_(row[here], np.flatnonzero(m.regions == one))], axis=1)]
+    return pa.array(out, pa.binary())
 
 
 def units(m: Model, home: np.ndarray, asks: np.ndarray, lot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -454,7 +484,7 @@ def units(m: Model, home: np.ndarray, asks: np.ndarray, lot: np.ndarray) -> tupl
 
     home: each row's region; asks: mask of the regions it asks in; lot: a number of each row that chooses part and slice.
     """
-    first = np.cumsum(m.parts * m.slices) - m.parts * m.slices
+    first = _first_units(m)
     row, region = np.nonzero(asks)
     own_part, own_slice = lot[row] % m.parts[region], lot[row] // 64 % m.slices[region]
     out = []
@@ -477,10 +507,11 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch, budget: Budget):
             continue
         part = batch.take(pa.array(np.flatnonzero(names == name)))
         values = matrix(part.column("vec_values"), np.float32)
-        own, mask, near, _ = probes(m, unit(values.astype(np.float64)).astype(np.float32), budget)
+        own, mask, near, dense = probes(m, unit(values.astype(np.float64)).astype(np.float32), budget)
+        asked, mask = visits(m, own, mask, near)
         # drawn from the row alone, so a task that runs again places it alike
         lot = (np.ascontiguousarray(values).view(np.uint32).astype(np.uint64).sum(1) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.int64)
-        row, unit_, member, asks = units(m, m.regions[own], visits(m, own, mask, near)[0], lot)
+        row, unit_, member, asks = units(m, m.regions[own], asked, lot)
         take, at_home = pa.array(row), pa.array(row, mask=~member)  # visitors bring no ids
         yield pa.RecordBatch.from_arrays(
             [
@@ -488,11 +519,13 @@ def _place(models: dict[str, Model], batch: pa.RecordBatch, budget: Budget):
                 pa.array(unit_.astype(np.int32)),
                 pa.array(member),
                 pa.array(asks),
+                pa.array(dense[row]),
+                _looks(m, mask, row, unit_),
                 part.column("dir_key").take(take),
                 part.column("vec_values").take(take),
                 part.column("ids").take(at_home),
             ],
-            names=["coll_name", "region", "member", "asks", "dir_key", "vec_values", "ids"],
+            names=["coll_name", "region", "member", "asks", "dense", "looks", "dir_key", "vec_values", "ids"],
         )
 
 
@@ -509,13 +542,16 @@ def _find(m: Model, t: pa.Table, budget: Budget) -> tuple[np.ndarray, np.ndarray
     number[home] = np.arange(len(home))
     if not len(home) or not len(asks):
         return home, asks, number[asks], np.full((len(asks), 1), -1), np.full((len(asks), 1), -np.inf)
+    # what a row probes was found when it was sent: here only the region's own lists count, however many the collection has
+    m = part_of(m, int(np.searchsorted(_first_units(m), t["region"][0].as_py(), "right")) - 1)
     x32 = x[home].astype(np.float32)
     own = _nearest(x32, m.centres)
     cells = cell_of(m, x32, own)
     codes, sizes = encode(m, x32, cells)
     q = x[asks]
-    looks = [probes(m, q[i : i + 2048].astype(np.float32), budget) for i in range(0, len(q), 2048)]
-    mask, dense = np.concatenate([visits(m, *p[:3])[1] for p in looks]), np.concatenate([p[3] for p in looks])
+    bits = np.frombuffer(b"".join(t["looks"].take(pa.array(asks)).to_pylist()), np.uint8).reshape(len(asks), -1)
+    mask = np.unpackbits(bits, axis=1, count=len(m.centres)).astype(bool)
+    dense = t["dense"].to_numpy(zero_copy_only=False)[asks]
     found, score = search_region(m, x[home], cells, codes, sizes, q, number[asks], mask, budget, dense)
     return home, asks, number[asks], found, np.round(score, 6)
 

@@ -150,3 +150,110 @@ def test_recall_over_given_vectors(spark):
             alone.append(s[i].max() < 0.85)
     hits, alone = np.array(hits), np.array(alone)
     assert hits.mean() >= 0.95 and hits[alone].mean() >= 0.9 and hits[~alone].mean() >= 0.99
+
+
+def cost():
+    """CPU seconds of coding a region and searching it for all its members, and of comparing all with all exactly."""
+    import time
+
+    rng = np.random.default_rng(4)
+    x = unit(rng.normal(size=(4000, 64)))
+    x32 = x.astype(np.float32)
+    m = fit(x, len(x))
+    own, mask, _, dense = probes(m, x32)
+    cells = cell_of(m, x32, own)
+
+    def search():
+        codes, sizes = encode(m, x32, cells)
+        search_region(m, x, cells, codes, sizes, x, np.arange(len(x)), mask, dense=dense)
+
+    def plain():
+        for i in range(0, len(x), 128):
+            np.argpartition(-(x32[i : i + 128] @ x32.T), 96, axis=1)
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    return min(seconds(search) for _ in range(4)), min(seconds(plain) for _ in range(4))
+
+
+def test_cost_of_coding_and_search():
+    import os
+    import subprocess
+    import sys
+
+    # one thread, as in a task
+    one = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+    said = subprocess.run([sys.executable, "-c", "from tests.llm.test_ann import cost; print(*cost())"], env=one, capture_output=True, text=True, check=True, timeout=120)
+    search, plain = map(float, said.stdout.split())
+    assert search <= 6 * plain
+
+
+def test_codes_of_one_dimension_are_those_of_the_general_loss():
+    from sparvex.llm.ann import _choose
+
+    rng = np.random.default_rng(6)
+    r, u, words = rng.normal(size=(500, 12, 1)), unit(rng.normal(size=(500, 12)))[:, :, None], rng.normal(size=(12, 16, 1))
+    flat = [np.concatenate([a, np.zeros_like(a)], 2) for a in (r, u, words)]  # a second dimension that says nothing
+    for passes in (0, 1, 3):
+        assert (_choose(r, u, words, 16.0, passes) == _choose(*flat, 16.0, passes)).all()
+
+
+def test_scores_are_products_with_the_decoded_rows(groups):
+    """The candidates of a search are those that the codes alone put first."""
+    from sparvex.llm.ann import EXACT, Budget, decode
+
+    x = unit(groups)
+    x32 = x.astype(np.float32)
+    m = fit(x, len(x))
+    cells = cell_of(m, x32, probes(m, x32)[0])
+    codes, sizes = encode(m, x32, cells)
+    rows = decode(m, codes, cells, sizes)
+    assert np.linalg.norm(rows - x32, axis=1).mean() < 0.1
+    few = Budget(rerank=EXACT)
+    found, _ = search_region(m, x, cells, codes, sizes, x, np.full(len(x), -1), np.ones((len(x), len(m.centres)), bool), few)
+    want = np.argsort(-(x32 @ rows.T), axis=1)[:, :EXACT]
+    assert np.mean([len(set(f) & set(w)) for f, w in zip(found, want)]) >= EXACT - 0.01
+
+
+def test_a_region_needs_only_its_own_lists(groups, monkeypatch):
+    """What a row probes comes with it, so the work of a region does not grow with the lists of the collection."""
+    import pyarrow as pa
+
+    from sparvex.llm import ann
+
+    monkeypatch.setattr(ann, "REGION_ROWS", 200)
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    x = unit(groups)
+    m = fit(x, len(x))
+    ids = [f"v{i:04d}" for i in range(len(x))]
+    batch = pa.RecordBatch.from_pydict({
+        "coll_name": ["c"] * len(x), "id": ids, "dir_key": [i.encode() for i in ids], "ids": [[i] for i in ids],
+        "vec_values": pa.array(x.tolist(), pa.list_(pa.float32())),
+    })
+    x32 = unit(x.astype(np.float32).astype(float)).astype(np.float32)
+    own, mask, near, dense = probes(m, x32)
+    mask = ann.visits(m, own, mask, near)[1]
+    placed = pa.Table.from_batches(list(ann._place({"c": m}, batch, ann.Budget())))
+    regions, seen = np.array(placed["region"]), np.zeros_like(mask)
+
+    def no_more(*_):
+        raise AssertionError("probed again")
+
+    def checked(part, x_, cells, codes, sizes, q, q_self, q_probe, budget, flags):
+        asked = np.argmax(q.astype(np.float32) @ x32.T, 1)
+        lists = np.flatnonzero(m.regions == region)
+        assert np.allclose(part.centres, m.centres[lists]) and (flags == dense[asked]).all()
+        seen[np.ix_(asked, lists)] |= q_probe
+        return search_region(part, x_, cells, codes, sizes, q, q_self, q_probe, budget, flags)
+
+    monkeypatch.setattr(ann, "probes", no_more)
+    monkeypatch.setattr(ann, "search_region", checked)
+    first = np.cumsum(m.parts * m.slices) - m.parts * m.slices
+    assert len(m.parts) > 2
+    for r in np.unique(regions):
+        region = int(np.searchsorted(first, r, "right")) - 1
+        ann._find(m, placed.take(pa.array(np.flatnonzero(regions == r))).combine_chunks(), ann.Budget())
+    assert (seen == mask).all()
